@@ -112,10 +112,11 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", max_bytes
     if len(block) > max_bytes:
         return judge_by_join(hosted, rules, default)
     name = f"urls-{xxhash.xxh128_hexdigest(block)}.bin"
-    folder = tempfile.mkdtemp(prefix="spark-urls-")
-    with open(os.path.join(folder, name), "wb") as f:
-        f.write(block)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    if not any(str(f).endswith(name) for f in spark.sparkContext.listFiles):  # the name holds the contents' digest
+        folder = tempfile.mkdtemp(prefix="spark-urls-")
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(block)
+        spark.sparkContext.addFile(os.path.join(folder, name))
 
     @F.pandas_udf("rule string, verdict string")
     def probe(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
