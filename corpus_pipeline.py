@@ -1,12 +1,38 @@
-"""A corpus pipeline over `documents`: each stage is written as Parquet and read again as the next one's input."""
+"""A corpus pipeline over `documents`: each stage is written as Parquet and read again as the next one's input.
+
+Stages: toxic documents go; of each class of near-duplicates one document stays; documents that hold benchmark passages go;
+sources are mixed to their weights (a document may go, or come up to three times); what is left is shuffled into shards.
+All stages but the last return the columns of documents; the last adds shard and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.common import materialise
+from factloom.llm.decontaminate import decontaminate
 from factloom.llm.mixing import mix, repeat
 from factloom.llm.sharding import shard_rows
+from factloom.llm.simhash import deduplicate
+from factloom.llm.toxicity import score_documents
+
+SHARDS = 24
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_documents(docs, labels).filter("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the smallest doc_id."""
+    return deduplicate(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,12 +41,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_rows(docs, 24)
+    """All documents with their shard and slot."""
+    return shard_rows(docs, SHARDS)
 
 
-STAGES = [("mixing", mixing), ("sharding", sharding)]
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-ORACLE_SQL = None  # no stage but the last can be put into SQL; tests/llm compare run() with a brute-force version
+ORACLE_SQL = None  # models, fingerprints and keyed shuffles are beyond SQL; tests/llm hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
