@@ -15,24 +15,26 @@ from factloom.llm.mixing import mix, repeat
 from factloom.llm.sharding import shard_rows
 from factloom.llm.simhash import deduplicate
 from factloom.llm.toxicity import score_documents
+from factloom.session import ship
 
 SHARDS = 24
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return score_documents(docs, labels).filter("predicted = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: the one with the smallest doc_id."""
+    ship(spark)
     return deduplicate(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    return decontaminate(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
