@@ -1,10 +1,17 @@
-"""Session defaults for tests, the bench and interactive use; a cluster brings its own."""
+"""Session defaults for tests, the bench and interactive use (a cluster brings its own), and what every session needs."""
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+ARCHIVE = "factloom-package.zip"
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "factloom") -> SparkSession:
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -15,8 +22,24 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "factloom")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers once per session, so that they can import it wherever the driver runs."""
+    context = spark.sparkContext
+    if not any(str(f).endswith(ARCHIVE) for f in context.listFiles):
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-factloom-package-"), ARCHIVE)
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(PACKAGE):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.join("factloom", os.path.relpath(full, PACKAGE)))
+        context.addPyFile(path)
+    return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, as Spark's Parquet reader sees it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
