@@ -14,7 +14,7 @@ from factloom.llm.decontaminate import decontaminate
 from factloom.llm.mixing import mix, repeat
 from factloom.llm.sharding import shard_rows
 from factloom.llm.simhash import deduplicate
-from factloom.llm.toxicity import score_documents
+from factloom.llm.toxicity import fit
 from factloom.session import ship
 
 SHARDS = 24
@@ -23,7 +23,7 @@ SHARDS = 24
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return score_documents(docs, labels).filter("predicted = 0").select(*docs.columns)
+    return fit(docs, labels).scored(docs).filter("predicted = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Toxicity scores: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
-Features (per document): densities of three word lists, second-person words and how often they stand near listed words,
-rates of capitals, punctuation and obfuscated spellings, and length. They are the only inputs of a score.
+Features (per document): densities of word lists, second-person words and how often they stand near listed words, rates of
+capitals, punctuation and obfuscated spellings, and length. They are the only inputs of a score. Four lists are fixed (below);
+a fifth is learned, since no fixed list fits every language: words and word beginnings that toxic training texts have far
+more often than clean ones, with the logarithm of that ratio as their weight.
 
-Training: labelled rows whose crc32(doc_id as text) mod 5 is 1, 2 or 3 fit the trees, those with 4 the calibration; rows
-with 0 are held out. Of more than TRAIN_ROWS labelled rows a hash-chosen share is used, TRAIN_ROWS on average: the one
-bounded sample here. A document with several labels counts as toxic if most of them say so.
+Training: labelled rows whose crc32(doc_id as text) mod 5 is 0 are held out. Of the others at most about TRAIN_ROWS are
+used, chosen by hash: the one bounded sample here. Rows with 1 and 2 are described by the list learned on those with 3 and 4
+and the other way round, so that no row is described by words learned from itself; the trees are fitted on rows with 1, 2
+and 3, the calibration on those with 4. For scoring, the list is learned again on all four. A document with several labels counts as toxic if most of them say so.
 
 Defined results: null and empty texts have all features 0 and get the score of such; a null doc_id counts as held out;
 repeated rows get equal scores; without labels of both classes among the training rows the score is h / (h + 1), h the
@@ -16,15 +19,17 @@ from __future__ import annotations
 
 import re
 import string
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.llm.common import materialise
 
@@ -41,9 +46,12 @@ COARSE = "bloody bullshit crap cunt damn dick fuck fucked fucker fucking hell pi
 THREATS = "attack beat burn die hang hate hurt kill murder punch shoot stab strangle suffer tuer frapper töten umbringen hassen matar odiar".split()
 SECOND = "you your yours yourself u ur ya tu toi ton vous votre du dich dein ihr euch usted ustedes tú vosotros".split()
 
-TRAIN_ROWS = 200_000
+TRAIN_ROWS = 40_000
 NEAR = 4
-FEATURES = ["insults", "insult_words", "kinds", "coarse", "threats", "second_person", "near_second_person", "capitals", "shouted", "punctuation", "runs", "obfuscated", "obfuscated_words", "length"]
+#: The learned list: lengths of word beginnings, least ratio of shares, least log-likelihood ratio (about one in a million
+#: by chance), most entries.
+STEMS, RATIO, EVIDENCE, ENTRIES = (4, 5, 6), 10.0, 24.0, 20_000
+FEATURES = ["insults", "insult_words", "kinds", "coarse", "threats", "second_person", "near_second_person", "capitals", "shouted", "punctuation", "runs", "obfuscated", "obfuscated_words", "length", "learned", "learned_words", "learned_kinds", "learned_most"]
 
 _LISTED = {**dict.fromkeys(THREATS, 2), **dict.fromkeys(COARSE, 1), **dict.fromkeys(INSULTS, 0), **dict.fromkeys(SECOND, 3)}
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -69,7 +77,28 @@ for _w in _LISTED:
         _BY_LENGTH.setdefault(len(_w), []).append(_w)
 
 
-def features(text: str | None) -> list[float]:
+class Learned(dict):
+    """Weight of each word by the learned list, remembered up to a bound."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        get = self.weights.get
+        self[word] = found = max(get(word + "$", 0.0), *(get(word[:n], 0.0) for n in STEMS if len(word) >= n), 0.0)
+        return found
+
+
+def stems(text: str) -> set[str]:
+    """A text's distinct words (closed by $) and word beginnings."""
+    words = set(_WORDS.findall(text.lower()))
+    return {w + "$" for w in words}.union(*({w[:n] for w in words if len(w) >= n} for n in STEMS))
+
+
+def features(text: str | None, learned: Learned) -> list[float]:
     if not text:
         return [0.0] * len(FEATURES)
     low = text.lower()
@@ -84,70 +113,107 @@ def features(text: str | None) -> list[float]:
     marks = sum(map(text.count, "!?#$%&*"))
     letters = max(1, sum(map(len, words)))
     upper = sum(map(text.count, string.ascii_uppercase))
+    told = [x for x in map(learned.__getitem__, words) if x]
+    kinds = len({w for w in words if learned[w]}) if told else 0
     shouted = sum(len(w) > 2 and w.isupper() for w in _WORDS.findall(text)) if upper > letters / 20 else 0
     return [
         1000 * len(hits[0]) / n, len(hits[0]), len({w for _, k, w in at if k < 3}), 1000 * len(hits[1]) / n, 1000 * len(hits[2]) / n, 1000 * len(hits[3]) / n, 1000 * near / n,
         100 * upper / letters, 100 * shouted / n, 100 * marks / size, 1000 * len(_RUNS.findall(text)) / n if marks else 0.0, 1000 * hidden / n, hidden, float(np.log1p(n)),
+        1000 * sum(told) / n, len(told), kinds, max(told, default=0.0),
     ]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def text_features(texts: pd.Series) -> pd.Series:
-    return pd.Series([[float(x) for x in features(t)] for t in texts.tolist()])
+def with_features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(weights)  # ENTRIES at most
+
+    @F.pandas_udf("array<double>")
+    def extract(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        learned = Learned(sent.value)
+        for batch in texts:
+            yield pd.Series([[float(x) for x in features(t, learned)] for t in batch.tolist()])
+
+    return rows.withColumn("_features", extract("text"))
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def learn(train: DataFrame) -> dict[str, float]:
+    """The learned list of training rows (text, _label): entry and weight."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            keys = list(clean.keys() | toxic.keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
+
+        clean, toxic = Counter(), Counter()
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (toxic if label else clean).update(stems(text or ""))
+            if len(clean) + len(toxic) > 600_000:
+                yield out()
+                clean, toxic = Counter(), Counter()
+        if clean or toxic:
+            yield out()
+
+    # copies of one text would make its words look telling
+    once = train.groupBy("_label", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text"))
+    sizes = {r["_label"]: r["n"] for r in once.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    bad, good = sizes.get(1.0, 0), sizes.get(0.0, 0)
+    if not bad or not good:
+        return {}
+    sums = once.select("text", "_label").mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    ratio = ((F.col("toxic") + 0.2) / bad) / ((F.col("clean") + 0.2) / good)
+    rows, share = F.col("toxic") + F.col("clean"), bad / (bad + good)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (rows * p))).otherwise(0.0)
+    evidence = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share))
+    told = sums.filter((evidence >= EVIDENCE) & (ratio >= RATIO)).select("stem", F.log(ratio).alias("weight"))
+    return {r.stem: r.weight for r in told.orderBy(F.desc("weight"), "stem").limit(ENTRIES).collect()}
+
+
 class Scorer:
-    """The fitted model; `scored` adds score and predicted to rows that hold `_features`."""
+    """The fitted model; `scored` adds score and predicted to rows with a text."""
 
-    def __init__(self, trees=None, calibration=None):
-        self.trees, self.calibration = trees, calibration
+    def __init__(self, weights: dict[str, float], trees=None, calibration=None):
+        self.weights, self.trees, self.calibration = weights, trees, calibration
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        rows = rows.drop("score", "predicted")
+        rows = with_features(rows.drop("score", "predicted"), self.weights)
+        names = [c for c in rows.columns if c != "_features"]
         if self.trees is None:
-            hits = F.get("_features", F.lit(1)) + F.get("_features", F.lit(FEATURES.index("obfuscated_words")))
-            rows = rows.withColumn("score", hits / (hits + 1))
+            hits = F.get("_features", F.lit(FEATURES.index("insult_words"))) + F.get("_features", F.lit(FEATURES.index("obfuscated_words")))
+            score = hits / (hits + 1)
         else:
-            names = set(rows.columns) | {"score"}
-            raw = self.trees.transform(rows.withColumn("_vector", array_to_vector("_features"))).withColumn("_raw", vector_to_array("_probability")[1])
-            level = self.calibration.transform(raw)
+            rows = self.trees.transform(rows.withColumn("_vector", array_to_vector("_features"))).withColumn("_raw", vector_to_array("_probability")[1])
+            rows = self.calibration.transform(rows)
             # the calibration is a step-like map; a thousandth of the trees' own score keeps the order inside its steps
-            rows = level.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("_level") + 0.001 * F.col("_raw"))))
-            rows = rows.select(*[c for c in rows.columns if c in names])
-        return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("_level") + 0.001 * F.col("_raw")))
+        return rows.select(*[f"`{c}`" for c in names], score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def fit(rows: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
-    """rows: doc_id and _features of all documents; labels: doc_id and toxic."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """docs: doc_id and text; labels: doc_id and toxic."""
     truth = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) >= 0.5).cast("double").alias("_label"))
-    known = rows.select("doc_id", "_features").join(truth, "doc_id").withColumn("_fold", fold(F.col("doc_id"))).filter("_fold != 0")
-    known = materialise(known, "train")
-    n = known.count()
-    if n > train_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
-    known = known.withColumn("_vector", array_to_vector("_features"))
-    own, other = known.filter("_fold < 4"), known.filter("_fold = 4")
-    classes = {(r["_label"], r["part"]) for r in known.select("_label", (F.col("_fold") < 4).alias("part")).distinct().collect()}
-    if len(classes) < 4:
-        return Scorer()
-    learner = GBTClassifier(featuresCol="_vector", labelCol="_label", predictionCol="_prediction", maxDepth=3, maxIter=20, stepSize=0.3, minInstancesPerNode=5, maxBins=64, seed=1)
-    trees = learner.setRawPredictionCol("_margin").setProbabilityCol("_probability").fit(own)
-    held = trees.transform(other).withColumn("_raw", vector_to_array("_probability")[1])
+    truth = materialise(truth.withColumn("_fold", fold(F.col("doc_id"))).filter("_fold != 0"), "labels")
+    share = min(1.0, train_rows / max(1, truth.count()))
+    chosen = truth.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # about train_rows ids, so the broadcast is bounded by that parameter
+    train = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "train")
+    classes = {(r["_label"], r["_fold"]) for r in train.select("_label", "_fold").distinct().collect()}
+    if not {(x, k) for x in (0.0, 1.0) for k in (3, 4)} <= classes:
+        return Scorer({})
+    low, high = train.filter("_fold < 3"), train.filter("_fold >= 3")
+    described = with_features(high, learn(low)).unionByName(with_features(low, learn(high)))
+    known = materialise(described.drop("text"), "features").withColumn("_vector", array_to_vector("_features"))
+    learner = GBTClassifier(featuresCol="_vector", labelCol="_label", predictionCol="_prediction", maxDepth=3, maxIter=20, stepSize=0.3, minInstancesPerNode=3, maxBins=64, seed=1)
+    trees = learner.setRawPredictionCol("_margin").setProbabilityCol("_probability").fit(known.filter("_fold < 4"))
+    held = trees.transform(known.filter("_fold = 4")).withColumn("_raw", vector_to_array("_probability")[1])
     calibration = IsotonicRegression(featuresCol="_raw", labelCol="_label", predictionCol="_level").fit(held.select("_raw", "_label"))
-    return Scorer(trees, calibration)
-
-
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text and more) with score and predicted."""
-    rows = materialise(docs.select("doc_id", text_features("text").alias("_features")), "features")
-    return fit(rows, labels).scored(docs.withColumn("_features", text_features("text"))).drop("_features")
+    return Scorer(learn(train), trees, calibration)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    rows = materialise(docs.select("doc_id", text_features("text").alias("_features")), "features")
-    return fit(rows, labels).scored(rows).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    docs = docs.select("doc_id", "text")
+    return fit(docs, labels).scored(docs).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
