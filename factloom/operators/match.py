@@ -58,10 +58,11 @@ def subject_keys(all_runs: bool):
 def similar(values: DataFrame, kind: str, least: float) -> DataFrame:
     """(a, b, score): the ordered pairs of distinct values of one column that score at least `least`."""
     names = values.toDF("value").filter("value is not null").distinct()
+    # what is worked out of each value is kept, so that the plan of the pairs does not repeat it
     if kind == "predicate":
-        scores = predicate_scores(blocked(predicate_features(names), predicate_keys, predicate_keys))
+        scores = predicate_scores(blocked(predicate_features(names).persist(), predicate_keys, predicate_keys).persist())
     else:
-        scores = subject_scores(blocked(subject_features(names), subject_keys(False), subject_keys(True)))
+        scores = subject_scores(blocked(subject_features(names).persist(), subject_keys(False), subject_keys(True)).persist())
     return scores.filter(F.col("score") >= least).select(F.col("a_value").alias("a"), F.col("b_value").alias("b"), "score")
 
 

@@ -58,7 +58,8 @@ def sentences(x: str) -> str:
     joined = rf"regexp_replace(coalesce({x}, ''), {HYPHENATED % '-–—'}, '\1\2', 'g')"
     paragraphs = rf"regexp_split_to_array({joined}, '\n\s*\n+')"
     one = rf"regexp_replace(regexp_replace(p, '\s*\n\s*', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-    masked = rf"regexp_replace({one}, '\b({'|'.join(V.ABBREVIATIONS)})\.', '\1' || chr(1), 'gi')"
+    # word boundaries are those of letters, not of ASCII letters
+    masked = rf"regexp_replace({one}, '(^|[^\p{{L}}\p{{N}}_])({'|'.join(V.ABBREVIATIONS)})\.', '\1\2' || chr(1), 'gi')"
     # no look-behind here: ends of sentences are marked, then split
     parts = rf"string_split(regexp_replace({masked}, '([.?!])\s+', '\1' || chr(2), 'g'), chr(2))"
     return f"list_filter(list_transform(flatten(list_transform({paragraphs}, lambda p: {parts})), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')"
