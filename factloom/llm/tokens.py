@@ -1,17 +1,18 @@
 """Token counts of whole texts under a SentencePiece model, without ever holding token ids of documents.
 
-The model puts one space before the text, writes spaces as U+2581 and merges pieces bottom-up. Where no piece of the
-vocabulary has U+2581 after another character, no merge can cross from text into a run of spaces, so the pieces of a text
-are those of its pre-tokens: a run of spaces with what follows it up to the next space. Likewise a character that no
-longer piece contains (line feeds, for one) stands alone. `boundaries` reads both facts from the model; where the first
-does not hold, the whole text is one pre-token and the counts are still right.
-
-1. The distinct pre-tokens of the corpus are counted with their frequencies (partial sums before the shuffle).
-2. Each distinct pre-token is encoded once and its pieces counted: a table (token, pieces, n).
-3. Those pre-tokens that make up at least 1/HEAD of all and are at most HEAD_BYTES long are broadcast. There are at most
-   HEAD of them by their definition, so the broadcast is bounded (HEAD * HEAD_BYTES bytes of text) whatever the corpus.
-4. Per document, frequent pre-tokens are summed in place; the rest become (document, token, n) rows that are joined to the
-   table by a shuffle, and both parts are summed.
+The model puts one space before the text, writes spaces as U+2581 and merges pieces bottom-up. A merge across a place of the
+text makes a piece that holds both characters beside it. So where no piece of the vocabulary has U+2581 after another
+character, or letters, digits and other signs side by side, the pieces of a text are those of its pre-tokens: a run of spaces
+with the letters, digits or signs after it. `boundaries` reads all that from the vocabulary; what does not hold there makes
+the pre-tokens coarser, up to the whole text, and the counts are still right.
+
+1. Frequent pre-tokens are looked for in a sample of about SAMPLE documents, encoded once each and broadcast. An entry must
+   make up 1/HEAD of the sample's pre-tokens, and one longer than HEAD_BYTES proportionally more, so the table holds at most
+   HEAD * HEAD_BYTES bytes of text whatever the corpus. It only decides where a pre-token is looked up; no count depends
+   on it.
+2. Per document, the frequencies of pre-tokens are joined to that table in place. The rest become (pre-token, row, times)
+   rows, which are brought together by pre-token; each distinct one is encoded once there and its pieces go to all rows
+   that hold it. Sums by row complete the counts.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted each on its own (rows carry a number within
 the job); very long pre-tokens are encoded whole; an empty table gives an empty result.
@@ -23,16 +24,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, utf8_bytes
+from factloom.llm.common import materialise, partitions, utf8_bytes
 
-HEAD, HEAD_BYTES = 100_000, 64
+HEAD, HEAD_BYTES, SAMPLE = 1_000_000, 48, 20_000
 #: A task's counter is put out and emptied when it holds this many pre-tokens.
-FLUSH = 400_000
+FLUSH = 300_000
 
 _models: dict = {}
 
@@ -48,13 +49,28 @@ def model(name: str):
 
 
 def boundaries(name: str) -> re.Pattern | None:
-    """The pattern of pre-tokens (spaces written as such), or None if the vocabulary has pieces that span them."""
+    """The pattern of pre-tokens (spaces written as such), or None if the vocabulary has pieces that span spaces."""
     m = model(name)
     pieces = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
     if any("▁" in p.lstrip("▁") for p in pieces) or len(m.encode(" ")) != 1 or m.encode("a▁b") != m.encode("a b"):
         return None
     alone = "" if any("\n" in p and len(p) > 1 for p in pieces) else r"\n"
-    return re.compile(rf" *[^ {alone}]+| +" + (r"|\n" if alone else ""))
+    lines = r"|\n" if alone else ""
+    # signs that the pattern language counts as word characters but are not letters, such as superscripts
+    odd = re.escape("".join(sorted({c for p in pieces for c in p if re.match(r"[^\W\d_]", c) and not c.isalpha()})))
+    kinds = [rf"[^\W\d_{odd}]+", r"\d+", rf"(?:[^\w {alone}]|[_{odd}])+"]
+    if all(any(re.fullmatch(k, rest) for k in kinds) for p in pieces if (rest := p.lstrip("▁"))):
+        return re.compile(rf" *(?:{'|'.join(kinds)})| +{lines}")
+    return re.compile(rf" *[^ {alone}]+| +{lines}")
+
+
+_patterns: dict = {}
+
+
+def boundaries_once(name: str) -> re.Pattern | None:
+    if name not in _patterns:
+        _patterns[name] = boundaries(name)
+    return _patterns[name]
 
 
 def count_pieces(name: str, tokens: list[str]) -> list[int]:
@@ -74,10 +90,10 @@ def pre_tokens(pattern: re.Pattern | None, text: str) -> list[str]:
     return pattern.findall(text) if pattern else [text]
 
 
-def piece_table(texts: DataFrame, name: str) -> DataFrame:
-    """(token, n, pieces) for each distinct pre-token of the column `text`."""
+def frequent(texts: DataFrame, name: str) -> dict[str, int]:
+    """Pieces of the frequent pre-tokens of a sample."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, seen = boundaries_once(name), Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
         for batch in batches:
@@ -89,49 +105,59 @@ def piece_table(texts: DataFrame, name: str) -> DataFrame:
         if seen:
             yield out()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = count_pieces(name, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], ["token", "n", "pieces"])
-
-    found = texts.select("text").filter("text != ''").mapInArrow(distinct, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return found.mapInArrow(encode, "token string, n long, pieces long")
+    sums = materialise(texts.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "pieces")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * HEAD >= F.lit(total) * F.greatest(F.lit(1.0), F.octet_length("token") / HEAD_BYTES)
+    words = [r.token for r in sums.filter(often & (F.col("n") > 1)).select("token").toLocalIterator()]
+    return dict(zip(words, count_pieces(name, words)))
 
 
-def count_tokens(docs: DataFrame, name: str, keep: list[str], scratch: str = "pieces") -> DataFrame:
+def count_tokens(docs: DataFrame, name: str, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs and n_tokens for each row."""
     spark = docs.sparkSession
-    table = materialise(piece_table(docs, name), scratch)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    frequent = (F.col("n") * HEAD >= total) & (F.octet_length("token") <= HEAD_BYTES)
-    head = spark.sparkContext.broadcast({r.token: r.pieces for r in table.filter(frequent).select("token", "pieces").collect()})
-    rows = docs.select(*keep, "text").withColumn("_row", F.monotonically_increasing_id())
-
-    @F.pandas_udf("struct<known:long,tokens:array<string>,times:array<long>>")
-    def look_up(texts: pd.Series) -> pd.DataFrame:
-        pattern, known = boundaries_once(name), head.value
-        sums, tokens, times = [], [], []
-        for text in texts.tolist():
-            counts = Counter(pre_tokens(pattern, text))
-            rest = counts.keys() - known.keys()
-            sums.append(sum(n * known[t] for t, n in counts.items() if t in known))
-            tokens.append(list(rest))
-            times.append([counts[t] for t in rest])
-        return pd.DataFrame({"known": sums, "tokens": tokens, "times": times})
-
-    counted = materialise(rows.withColumn("_found", look_up("text")).drop("text"), scratch)
-    rare = counted.select("_row", F.explode(F.arrays_zip("_found.tokens", "_found.times")).alias("_p")).select("_row", F.col("_p.tokens").alias("token"), F.col("_p.times").alias("times"))
-    added = rare.join(table.filter(~frequent).select("token", "pieces"), "token").groupBy("_row").agg(F.sum(F.col("times") * F.col("pieces")).alias("_more"))
-    return counted.join(added, "_row", "left").withColumn("n_tokens", F.col("_found.known") + F.coalesce("_more", F.lit(0))).drop("_row", "_found", "_more")
-
-
-_patterns: dict = {}
+    share = SAMPLE / max(1, docs.count())
+    sample = docs if share >= 1 else docs.sample(share, seed=9)
+    head = spark.sparkContext.broadcast(frequent(sample, name))
 
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (no token) with what is known of each document, and rows for the pre-tokens still to be looked up."""
+        pattern, known = boundaries_once(name), head.value
+        for batch in batches:
+            tokens, rows, times, docs = [], [], [], []
+            for i, (row, text) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist())):
+                counts = Counter(pre_tokens(pattern, text))
+                rest = [t for t in counts if t not in known]
+                docs += [i] + [None] * len(rest)
+                tokens.append(None)
+                rows.append(row)
+                times.append(sum(n * known[t] for t, n in counts.items() if t in known))
+                tokens += rest
+                rows += [row] * len(rest)
+                times += [counts[t] for t in rest]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(rows, pa.int64()), pa.array(times, pa.int64()), batch.column("doc").take(pa.array(docs, pa.int64()))], ["token", "row", "times", "doc"])
 
-def boundaries_once(name: str) -> re.Pattern | None:
-    if name not in _patterns:
-        _patterns[name] = boundaries(name)
-    return _patterns[name]
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by pre-token: each is encoded where it first comes up."""
+        last, pieces = None, 0
+        for batch in batches:
+            runs = batch.column("token").dictionary_encode()
+            words = runs.dictionary.to_pylist()
+            if not words:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("times"), batch.column("doc")], ["row", "n", "doc"])
+                continue
+            counts = [pieces, *count_pieces(name, words[1:])] if words[0] == last else count_pieces(name, words)
+            last, pieces = words[-1], counts[-1]
+            each = pa.array(counts, pa.int64()).take(runs.indices).fill_null(1)  # no token: what is known already
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pc.multiply(batch.column("times"), each), batch.column("doc")], ["row", "n", "doc"])
+
+    rows = docs.select(F.struct(*keep).alias("doc"), "text").withColumn("_row", F.monotonically_increasing_id())
+    kind = rows.schema["doc"].dataType.simpleString()
+    found = rows.mapInArrow(look_up, f"token string, row long, times long, doc {kind}")
+    # what has no token to look up is spread by its row
+    key = F.when(F.col("token").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("token"))
+    dealt = found.withColumn("_key", key).repartition(partitions(spark), "_key").sortWithinPartitions("token").drop("_key")
+    sums = dealt.mapInArrow(encode, f"row long, n long, doc {kind}").groupBy("row").agg(F.sum("n").alias("n_tokens"), F.first("doc", ignorenulls=True).alias("doc"))
+    return sums.select("doc.*", "n_tokens")
 
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
