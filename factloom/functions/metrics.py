@@ -31,7 +31,7 @@ def metric_family(predicate: Column) -> Column:
     out = None
     for k, (family, members) in enumerate(V.METRIC_FAMILIES):
         names = "|".join(map(re.escape, members))
-        test = text.rlike(names if k < 2 else rf"\b(?:{names})\b") | text.isin(members)
+        test = text.rlike(names if k < 2 else rf"\b(?:{names})\b")
         out = F.when(test, family) if out is None else out.when(test, family)
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def meaningless_number(text: Column) -> Column:
     return F.trim(text).rlike("(?i)^(?:" + "|".join(V.LONE_NUMBERS) + ")$")
 
 
+def one_of(text: Column, words: list[str]) -> Column:
+    """Membership in a word list, as one pattern: a long IN list is a node per word in every plan that holds it."""
+    return text.rlike("^(?:" + "|".join(map(re.escape, words)) + ")\\z")
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(words))
 
@@ -33,16 +40,16 @@ def fact_quality(subject: Column, predicate: Column, value: Column, evidence: Co
     stated = lambda c: F.coalesce(c, F.lit("")) != ""
     measured = stated(unit) | stated(currency)
     of_subject = (
-        F.when((subject == "") | F.lower(subject).isin(V.GENERIC_WORDS) | starts_lower(subject), 0.0)
+        F.when((subject == "") | one_of(F.lower(subject), V.GENERIC_WORDS) | starts_lower(subject), 0.0)
         .when(subject.rlike(r"^\p{Lu}") & (F.length(subject) >= 3), F.when(contains_any(F.lower(subject), V.ENTITY_TERMS), 1.0).otherwise(0.85))
         .otherwise(0.5)
     )
     of_predicate = (
-        F.when(contains_any(F.lower(predicate), V.METRIC_KEYWORDS), 1.0).when(F.lower(predicate).isin(V.VERB_PREDICATES), 0.0).when(F.length(predicate) >= 4, 0.7).otherwise(0.5)
+        F.when(contains_any(F.lower(predicate), V.METRIC_KEYWORDS), 1.0).when(one_of(F.lower(predicate), V.VERB_PREDICATES), 0.0).when(F.length(predicate) >= 4, 0.7).otherwise(0.5)
     )
     of_value = (
         F.when(value.rlike(r"\d"), F.when(measured | value.rlike("[₹$€£%]"), 1.0).when((F.length(value) > 1) & ~meaningless_number(value), 0.75).otherwise(0.2))
-        .when(F.lower(value).isin(V.GENERIC_WORDS), 0.0)
+        .when(one_of(F.lower(value), V.GENERIC_WORDS), 0.0)
         .otherwise(0.6)
     )
     of_context = F.lit(0.5) + F.when(stated(period), 0.3).otherwise(0.0) + F.when(measured, 0.2).otherwise(0.0)
@@ -53,14 +60,13 @@ def fact_quality(subject: Column, predicate: Column, value: Column, evidence: Co
 def accepted_subject(subject: Column) -> Column:
     """The subject as it is kept: a few names written in lower case, and e-/i- names, get a capital."""
     s = clean(subject)
-    known = F.lower(s).isin(V.LOWER_CASE_NAMES) | s.rlike("^(?:e-|i-)")
+    known = one_of(F.lower(s), V.LOWER_CASE_NAMES) | s.rlike("^(?:e-|i-)")
     return F.when(starts_lower(s) & known, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))).otherwise(s)
 
 
-def rejection_reason(subject: Column, predicate: Column, value: Column, evidence: Column, quality: Column, page: Column) -> Column:
-    """The first gate that a fact fails, in words; null if it passes all. `quality` is the score of the fact with its kept subject."""
-    raw = clean(subject)
-    subject, predicate, value, evidence = accepted_subject(subject), clean(predicate), clean(value), clean(evidence)
+def rejection_reason(raw: Column, subject: Column, predicate: Column, value: Column, evidence: Column, quality: Column, page: Column) -> Column:
+    """The first gate that a fact fails, in words; null if it passes all. `subject` is the one that would be kept, and
+    `quality` the score with it; all texts trimmed, none null."""
     low, named, amount = F.lower(subject), F.lower(predicate), F.lower(value)
     says = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     # the order of the list decides which ending is named
@@ -75,15 +81,15 @@ def rejection_reason(subject: Column, predicate: Column, value: Column, evidence
         (meaningless_number(value), says("Meaningless number: value '", value, "' is an isolated digit or footnote marker without an associated metric")),
         (evidence == "", F.lit("Missing evidence quote")),
         (F.length(evidence) < 15, says("Evidence quote is too brief to substantiate a claim: '", evidence, "'")),
-        (F.lower(raw).isin(V.GENERIC_WORDS), says("Subject '", raw, "' is a generic verb, pronoun, or preposition, not an entity")),
+        (one_of(F.lower(raw), V.GENERIC_WORDS), says("Subject '", raw, "' is a generic verb, pronoun, or preposition, not an entity")),
         (starts_lower(subject), says("Subject '", raw, "' starts with a lowercase letter, indicating an arbitrary sentence fragment")),
         (ending != "", says("Subject '", subject, "' ends with dangling connector '", ending, "', indicating a broken fragment")),
         (opening != "", says("Subject '", subject, "' begins with clause connector '", opening, "', indicating a broken fragment")),
         (subject.rlike(r"(?U)^[0-9\W_]+$"), says("Subject '", subject, "' contains no valid entity characters")),
-        (named.isin(V.VERB_PREDICATES + V.GENERIC_WORDS), says("Predicate '", predicate, "' is a generic verb or word without an associated metric name")),
-        (named.isin(V.PUNCTUATION_PREDICATES), says("Predicate '", predicate, "' is a punctuation artifact")),
+        (one_of(named, V.VERB_PREDICATES + V.GENERIC_WORDS), says("Predicate '", predicate, "' is a generic verb or word without an associated metric name")),
+        (one_of(named, V.PUNCTUATION_PREDICATES), says("Predicate '", predicate, "' is a punctuation artifact")),
         (predicate.rlike(r"^\d+$") | predicate.rlike(FISCAL_HEADER), says("Predicate '", predicate, "' is purely a number or period, not a metric")),
-        (amount.isin(V.GENERIC_WORDS + V.VERB_PREDICATES), says("Value '", value, "' is a generic action word rather than a metric quantity or state")),
+        (one_of(amount, V.GENERIC_WORDS + V.VERB_PREDICATES), says("Value '", value, "' is a generic action word rather than a metric quantity or state")),
         (amount.isin([";", ":"]), says("Value '", value, "' is purely punctuation")),
         (low == named, says("Subject and predicate are identical ('", subject, "'), which does not form a meaningful claim")),
         ((named == amount) & ~named.isin(["true", "false", "yes", "no"]), says("Predicate and value are identical ('", predicate, "'), indicating a redundant extraction fragment")),
@@ -106,9 +112,10 @@ def overlap(evidence: Column, page: Column) -> Column:
 
 def judge(raw_facts):
     """raw_facts (with page_text) and quality_score, rejection_reason, status; accepted subjects as they are kept."""
-    kept = accepted_subject(F.col("subject"))
-    quality = fact_quality(kept, F.col("predicate"), F.col("value"), F.col("evidence_quote"), F.col("period"), F.col("unit"), F.col("currency"))
-    scored = raw_facts.withColumn("quality_score", quality)
-    reason = rejection_reason(F.col("subject"), F.col("predicate"), F.col("value"), F.col("evidence_quote"), F.col("quality_score"), F.col("page_text"))
-    judged = scored.withColumn("rejection_reason", reason)
-    return judged.withColumn("status", F.when(F.col("rejection_reason").isNull(), "ACCEPTED").otherwise("REJECTED")).withColumn("subject", F.when(F.col("rejection_reason").isNull(), kept).otherwise(F.col("subject")))
+    texts = {f"_{c}": clean(F.col(c)) for c in ("subject", "predicate", "value", "evidence_quote")}
+    rows = raw_facts.withColumns(texts | {"_kept": accepted_subject(F.col("subject"))})
+    quality = fact_quality(F.col("_kept"), F.col("predicate"), F.col("value"), F.col("evidence_quote"), F.col("period"), F.col("unit"), F.col("currency"))
+    reason = rejection_reason(F.col("_subject"), F.col("_kept"), F.col("_predicate"), F.col("_value"), F.col("_evidence_quote"), F.col("quality_score"), F.col("page_text"))
+    judged = rows.withColumn("quality_score", quality).withColumn("rejection_reason", reason)
+    passed = F.col("rejection_reason").isNull()
+    return judged.withColumns({"status": F.when(passed, "ACCEPTED").otherwise("REJECTED"), "subject": F.when(passed, F.col("_kept")).otherwise(F.col("subject"))}).drop(*texts, "_kept")

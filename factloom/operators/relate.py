@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab as V
+from factloom.functions.quality import one_of
 
 
 def canonical_key(a: Column, b: Column) -> Column:
@@ -24,7 +25,7 @@ def values_match() -> Column:
     text_a, text_b = F.lower(F.trim("a_value")), F.lower(F.trim("b_value"))
     # F.when keeps the division from being evaluated at zero
     close = F.when(a == 0, b == 0).otherwise((F.abs(a - b) / F.when(a != 0, F.abs(a)) < V.TOLERANCE) & ~units)
-    return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), close).otherwise((text_a == text_b) & ~text_a.isin(V.GENERIC_WORDS)), F.lit(False))
+    return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), close).otherwise((text_a == text_b) & ~one_of(text_a, V.GENERIC_WORDS)), F.lit(False))
 
 
 def base_confidence(stored_quality: str = "default") -> Column:
@@ -45,7 +46,7 @@ def classify(pairs: DataFrame, stored_quality: str = "default") -> DataFrame:
     period, scope, unit = (differ(c(f"a_{k}"), c(f"b_{k}")) for k in ("period", "scope", "normalized_unit"))
     same_period = F.coalesce(c("a_period") == c("b_period"), F.lit(False))
     no_period = ~stated(c("a_period")) & ~stated(c("b_period"))
-    generic = pred_a.isin(V.VERB_PREDICATES) | pred_b.isin(V.VERB_PREDICATES) | F.lower(val_a).isin(V.GENERIC_WORDS) | F.lower(val_b).isin(V.GENERIC_WORDS)
+    generic = one_of(pred_a, V.VERB_PREDICATES) | one_of(pred_b, V.VERB_PREDICATES) | one_of(F.lower(val_a), V.GENERIC_WORDS) | one_of(F.lower(val_b), V.GENERIC_WORDS)
     quarterly = F.contains(F.lower("a_period"), F.lit("q")) != F.contains(F.lower("b_period"), F.lit("q"))
     base, match = c("_base"), c("_match")
 
