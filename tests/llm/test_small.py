@@ -114,6 +114,39 @@ def test_leaks(spark):
     assert decontaminate.decontaminate(rows.limit(0), benchmark).count() == 0
 
 
+def vocabulary(rng, n):
+    """A word maker over n invented words."""
+    words = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(n)]
+    return lambda k: " ".join(rng.choice(words) for _ in range(k))
+
+
+def leaks(rows, benchmark):
+    return {(r.doc_id, r.item) for r in decontaminate.with_matches(rows, benchmark).select("doc_id", F.explode("_matches.item_id").alias("item")).collect()}
+
+
+def test_leaks_in_a_third_of_the_rows(spark):
+    text = vocabulary(random.Random(11), 3000)
+    hot, other = text(30), text(24)
+    rows = [(i, f"{text(40)} {hot} {text(60)}" if i % 3 == 0 else text(120), "s") for i in range(90)] + [(200, f"{text(30)} {other}", "s")]
+    benchmark = spark.createDataFrame([(1, hot), (2, other)], "item_id long, text string")
+    assert leaks(docs(spark, rows), benchmark) == {(i, 1) for i in range(0, 90, 3)} | {(200, 2)}
+
+
+def test_leak_in_every_row(spark):
+    text = vocabulary(random.Random(12), 3000)
+    hot = text(30)
+    rows = [(i, f"{text(40)} {hot} {text(60)}", "s") for i in range(60)]
+    assert leaks(docs(spark, rows), spark.createDataFrame([(1, hot)], "item_id long, text string")) == {(i, 1) for i in range(60)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_leaks_among_few_rows(spark, n):
+    text = vocabulary(random.Random(13), 3000)
+    item = text(25)
+    rows = [(0, f"{text(50)} {item} {text(30)}", "s")] + [(i, text(100), "s") for i in range(1, n)]
+    assert leaks(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")) == {(0, 1)}
+
+
 # --- warc -----------------------------------------------------------------------------------------------------------------
 
 
