@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -147,6 +148,35 @@ def test_leaks_among_few_rows(spark, n):
     assert leaks(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")) == {(0, 1)}
 
 
+def test_candidates_hold_every_paraphrase(spark):
+    """Half of a passage's words and its answer kept: what longest common subsequence and answer confirm on all windows is a candidate."""
+    rng = random.Random(14)
+    text = vocabulary(rng, 3000)
+    passages = [(i, text(24 + 2 * i).split()) for i in range(12)]
+    planted = []
+    for _, words in passages * 6:
+        cut = len(words) - max(4, len(words) // 4)
+        dropped = set(rng.sample(range(cut), len(words) // 2))
+        kept = [text(1) if i in dropped else w for i, w in enumerate(words)]
+        planted.append(f"{text(rng.randint(0, 90))} {' '.join(kept)} {text(rng.randint(0, 90))}")
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(planted + [text(150) for _ in range(60)])])
+    df, n = decontaminate.document_frequencies(rows)
+    idf = decontaminate.idf_of(df, n)
+    judge = decontaminate.Judge(passages, idf, *decontaminate.latent_space(rows, n, [w for _, w in passages], idf))
+    column = pa.array([decontaminate.term_ids(t.split()).tolist() for t in planted], pa.list_(pa.int32()))
+    plain = set()
+    for d, words in enumerate(map(str.split, planted)):
+        blocks = -(-len(words) // decontaminate.BLOCK)
+        for size, step in decontaminate.WINDOWS:
+            for s in range(0, max(1, blocks - size + step), step):
+                for j in range(len(passages)):
+                    judge.confirm(words[decontaminate.BLOCK * s : decontaminate.BLOCK * (s + size)], j, 0.0, best := {})
+                    if best:
+                        plain.add((d, decontaminate.BLOCK * s, j))
+    assert len({d for d, _, _ in plain}) > 10
+    assert plain <= {(d, s, j) for d, s, _, j, _ in judge.candidates(*decontaminate.flat(column))}
+
+
 # --- warc -----------------------------------------------------------------------------------------------------------------
 
 
