@@ -33,31 +33,44 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def number_rows(df: DataFrame, order: list[str], label: str, to: str = "_rank") -> tuple[DataFrame, int]:
-    """Number all rows from 0 in the order given, and count them, without one task that sees them all.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for work columns: the ones given, each behind as many underscores as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def number_rows(df: DataFrame, order: list[str], label: str, to: str) -> tuple[DataFrame, int]:
+    """Number all rows from 0 in the order given, in a new column `to`, and count them, without one task that sees them all.
 
     The rows are range-sorted, written, and given their place in their partition plus the rows of the partitions before.
     Rows that are equal in `order` may be split over partitions (a running number is the last sort key), so a key that
     holds a third of all rows does no harm; such rows get consecutive numbers in no particular order.
     """
     spark = df.sparkSession
+    spread, at, part, start = unused(df, "spread", "at", "part", "start")
     placed = (
-        df.withColumn("_spread", F.monotonically_increasing_id())
-        .repartitionByRange(partitions(spark), *order, "_spread")
-        .sortWithinPartitions(*order, "_spread")
-        .drop("_spread")
-        .withColumn("_at", F.monotonically_increasing_id())
+        df.withColumn(spread, F.monotonically_increasing_id())
+        .repartitionByRange(partitions(spark), *order, spread)
+        .sortWithinPartitions(*order, spread)
+        .drop(spread)
+        .withColumn(at, F.monotonically_increasing_id())
     )
     placed = materialise(placed, label)
-    part = F.shiftright("_at", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each partition, so both the window and the broadcast are small whatever the input
-    starts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    counts = placed.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias("n"))
+    starts = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
     numbered = (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(to, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_start", "_at")
+        placed.withColumn(part, F.shiftright(at, 33))
+        .join(F.broadcast(starts), part)
+        .withColumn(to, F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop(part, start, at)
     )
     return numbered, placed.count()
 

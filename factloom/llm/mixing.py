@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 def targets(sized: DataFrame, epochs: int, cycle: int) -> tuple[DataFrame, float, int]:
     """One row for each source with its size, weight and target; the level; the budget."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull())
-    ranked, _ = number_rows(sums, ["_null", "source"], "sources")
+    ranked, _ = number_rows(sums, ["_null", "source"], "sources", "_rank")
     own = materialise(ranked.select("source", "source_size", (F.col("_rank") % cycle + 1).cast("double").alias("weight")), "weights")
     budget = own.agg(F.sum("source_size")).first()[0] or 0
     level, most = 0.0, F.col("source_size") * epochs

@@ -1,13 +1,15 @@
 """Reproducible shuffle and sharding by a Feistel permutation over global row numbers (DataFrame functions only).
 
-Rows are numbered 0..n-1 in the order of a hash of the whole row (ties: equal rows, which are interchangeable), so the
-numbering depends on the rows alone, not on how they are partitioned. A Feistel network over Z_a x Z_b (a*b just above n)
+Rows are numbered 0..n-1 in the order of two hashes of the whole row (ties: equal rows, which are interchangeable; two rows
+that differ share both hashes with a chance of 2^-128), so the numbering depends on the rows alone, not on how they are
+partitioned. A Feistel network over Z_a x Z_b (a*b just above n)
 permutes the numbers; a value that falls on n or above is permuted again (cycle walking). The position p gives
 shard = p mod k and slot = p div k: shard sizes differ by one row at most, slots have no gaps, and either can be computed
 from a row number alone without looking at another row.
 
 Defined results: an empty table gives an empty result; null and empty texts are rows like any other; repeated rows get
-places of their own; very long texts are hashed whole. Input columns named `shard` or `slot` are replaced by the output.
+places of their own; very long texts are hashed whole. Input columns named `shard` or `slot` are replaced by the output;
+all others pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import number_rows, row_hash, utf8_bytes
+from factloom.llm.common import number_rows, row_hash, unused, utf8_bytes
 
 ROUNDS = 8
 
@@ -44,34 +46,42 @@ def feistel(x: Column, n: int, seed: int, rounds: int = ROUNDS) -> Column:
 
 
 def walks(spark: SparkSession, n: int, seed: int) -> int:
-    """How often a value may have to be permuted again. Only the fewer than sqrt(n)+1 cells from n on start such walks."""
+    """How often a value below n may have to be permuted again.
+
+    Each of the fewer than sqrt(n)+1 cells from n on is permuted once; what remains is to follow these images. Chains that
+    start at a cell which no other outer cell leads to are the only ones that a value below n can enter; a cycle that lies
+    wholly among the outer cells is none, and is not walked.
+    """
     a, b = halves(n)
-    out, longest = spark.range(n, a * b).select(feistel(F.col("id"), n, seed).alias("x")), 1
-    while a * b > n and out.filter(F.col("x") >= n).limit(1).count():
-        out, longest = out.filter(F.col("x") >= n).select(feistel(F.col("x"), n, seed).alias("x")), longest + 1
+    leads = {r.id: r.x for r in spark.range(n, a * b).select("id", feistel(F.col("id"), n, seed).alias("x")).collect()}
+    longest = 0
+    for cell in leads.keys() - set(leads.values()):
+        steps = 0
+        while cell >= n:
+            cell, steps = leads[cell], steps + 1
+        longest = max(longest, steps)
     return longest
 
 
 def permuted(spark: SparkSession, x: Column, n: int, seed: int) -> Column:
     """The place of row number x in a shuffle of 0..n-1."""
-    first = feistel(x, n, seed)
-    a, b = halves(n)
-    if a * b == n:
+    first, steps = feistel(x, n, seed), walks(spark, n, seed)
+    if not steps:
         return first
-    again = F.sequence(F.lit(1), F.lit(walks(spark, n, seed)))
-    return F.aggregate(again, first, lambda y, _: F.when(y < n, y).otherwise(feistel(y, n, seed)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda y, _: F.when(y < n, y).otherwise(feistel(y, n, seed)))
 
 
 def shard_rows(df: DataFrame, shards: int, seed: int = 20240) -> DataFrame:
     """df with `shard` (0..shards-1) and `slot` (0.. without gaps in each shard)."""
     df = df.drop("shard", "slot")
-    ranked, n = number_rows(df.withColumn("_hash", row_hash(df, seed)), ["_hash"], "shards")
-    place = permuted(df.sparkSession, F.col("_rank"), max(n, 1), seed)
+    first, second, rank, place = unused(df, "first", "second", "rank", "place")
+    hashed = df.withColumns({first: row_hash(df, seed), second: row_hash(df, seed + 1)})
+    ranked, n = number_rows(hashed, [first, second], "shards", rank)
     return (
-        ranked.withColumn("_place", place)
-        .withColumn("shard", (F.col("_place") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_place") / shards).cast("long"))
-        .drop("_hash", "_rank", "_place")
+        ranked.withColumn(place, permuted(df.sparkSession, F.col(rank), max(n, 1), seed))
+        .withColumn("shard", (F.col(place) % shards).cast("int"))
+        .withColumn("slot", F.floor(F.col(place) / shards).cast("long"))
+        .drop(first, second, rank, place)
     )
 
 
