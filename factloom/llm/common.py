@@ -1,12 +1,17 @@
-"""What the operators of this subpackage share: scratch tables, row numbers and a few text expressions."""
+"""What the operators of this subpackage share: scratch tables, row numbers, running sums and a few expressions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Words are what lies between these six characters: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -75,6 +80,38 @@ def number_rows(df: DataFrame, order: list[str], label: str, to: str) -> tuple[D
     return numbered, placed.count()
 
 
+def running_sums(df: DataFrame, order: list[str], values: dict[str, str], label: str) -> DataFrame:
+    """df with, for each column in `values`, the sum of it over all rows up to and with this one in the order given, under
+    the name that `values` maps it to; without one task that sees all rows.
+
+    The rows are range-sorted, summed as they pass (Arrow batches, nothing is held) and written; the sums of the partitions
+    before are added. Rows that are equal in `order` may be split over partitions and follow each other in no particular order.
+    """
+    spark = df.sparkSession
+    spread, part = unused(df, "spread", "part")
+    begin = [f"{part}_{k}" for k in range(len(values))]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = dict.fromkeys(values, 0)
+        me = TaskContext.get().partitionId()
+        for batch in batches:
+            batch = batch.append_column(part, pa.array([me] * batch.num_rows, pa.int32()))
+            for name, to in values.items():
+                sums = np.cumsum(batch.column(name).to_numpy(zero_copy_only=False)) + totals[name]
+                totals[name] = sums[-1] if len(sums) else totals[name]
+                batch = batch.append_column(to, pa.array(sums))
+            yield batch
+
+    ordered = df.withColumn(spread, F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order, spread).sortWithinPartitions(*order, spread).drop(spread)
+    schema = StructType([*df.schema.fields, StructField(part, IntegerType()), *[StructField(to, df.schema[name].dataType) for name, to in values.items()]])
+    summed = materialise(ordered.mapInArrow(add, schema), label)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition, so both the window and the broadcast are small whatever the input
+    ends = summed.groupBy(part).agg(*[F.sum(name).alias(b) for name, b in zip(values, begin)])
+    starts = ends.select(part, *[F.coalesce(F.sum(b).over(before), F.lit(0)).alias(b) for b in begin])
+    return summed.join(F.broadcast(starts), part).withColumns({to: F.col(to) + F.col(b) for to, b in zip(values.values(), begin)}).drop(part, *begin)
+
+
 def utf8_bytes(text: Column) -> Column:
     """UTF-8 bytes of the text; none where it is null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -6,22 +6,22 @@ time, as a fair queue would, gives each source words in proportion to its weight
 where the words taken reach the budget, here the words of all documents. That is the water-filling rule of the targets:
 target = min(epochs * source size, level * weight), the level such that the targets sum to the budget.
 
-No task sees a whole source: running sums are taken in hash ranges of a source and shifted by the sums of the ranges before;
-the range-sort by virtual time runs in bins of equal virtual time, which the queue fills about evenly.
+Three running sums do all of it, each over a range-sort whose ranges follow the table's size: words by (source, hash) give
+the places in each source's queue, words by virtual time give the end of the mix, and sizes and weights of the sources by
+the time at which they are used up give the level. No task sees a whole source; rows with equal keys may be split.
 
 Defined results: null or empty texts have size 0 and are taken with no words; a null source is a source of its own, the
 last in order; equal rows are interchangeable; an empty table gives an empty result. Input columns named as the output
-columns (size, source_size, weight, target, copies, taken) are replaced.
+columns (size, source_size, weight, target, copies, taken) are replaced; all others pass through unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import WORD, materialise, number_rows, row_hash
+from factloom.llm.common import WORD, materialise, number_rows, row_hash, running_sums, unused
 
-RANGES, BINS = 128, 1024
 OUT = ["size", "source_size", "weight", "target", "copies", "taken"]
 
 
@@ -30,78 +30,66 @@ def words(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, epochs: int, cycle: int) -> tuple[DataFrame, float, int]:
-    """One row for each source with its size, weight and target; the level; the budget."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull())
-    ranked, _ = number_rows(sums, ["_null", "source"], "sources", "_rank")
-    own = materialise(ranked.select("source", "source_size", (F.col("_rank") % cycle + 1).cast("double").alias("weight")), "weights")
-    budget = own.agg(F.sum("source_size")).first()[0] or 0
-    level, most = 0.0, F.col("source_size") * epochs
-    while True:  # each turn settles at least one more source at its most, or ends
-        full = most <= F.lit(level) * F.col("weight")
-        fixed, open_weight = own.agg(F.coalesce(F.sum(F.when(full, most)), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
-        now = (budget - fixed) / open_weight if open_weight else level
-        if now <= level:
-            break
-        level = now
-    return own.withColumn("target", F.least(most.cast("double"), F.lit(level) * F.col("weight"))), level, int(budget)
-
-
-def mix(docs: DataFrame, epochs: int = 3, cycle: int = 3, seed: int = 606) -> DataFrame:
-    """docs (with source and text, or with a column `_size` that stands for the text's words) and for each row its size,
-    its source's size, weight and target, and how often and with how many words the mix takes it."""
-    size = F.col("_size") if "_size" in docs.columns else words(F.col("text"))
-    docs = docs.withColumn("_words", size).drop(*OUT, "_size").withColumnRenamed("_words", "size")
-    docs = docs.withColumn("_hash", row_hash(docs, seed)).withColumn("_range", F.shiftrightunsigned("_hash", 64 - RANGES.bit_length() + 1))
-    sized = materialise(docs.select("source", "size", "_hash", "_range"), "sizes")
-    own, level, budget = targets(sized, epochs, cycle)
-
-    def queued(rows: DataFrame) -> DataFrame:
-        """rows with `_cum`: the words of the source up to and with this row."""
-        ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-        before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        starts = ranges.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-        inside = Window.partitionBy("source", "_range").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
-        o = own.withColumnRenamed("source", "_o")
-        return (
-            rows.withColumn("_cum", F.sum("size").over(inside))
-            .join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-            .join(o, F.col("source").eqNullSafe(F.col("_o")))
-            .withColumn("_cum", F.col("_cum") + F.col("_start"))
-            .drop("_s", "_r", "_start", "_o")
-        )
-
-    def finish(e: Column) -> Column:
-        return (e * F.col("source_size") + F.col("_cum")) / F.col("weight")
-
-    end = _last(queued(sized), finish, epochs, level, budget)
+    """sized: source and size. One row for each source with its size, weight and target, and the words of the sources before
+    it; the level; the budget."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    ranked, _ = number_rows(sums, ["last", "source"], "sources", "rank")
+    own = ranked.withColumns({"weight": (F.col("rank") % cycle + 1).cast("double"), "most": F.col("source_size") * epochs})
+    own = running_sums(own, ["rank"], {"source_size": "upto"}, "weights").withColumn("before", F.col("upto") - F.col("source_size"))
+    budget = int(own.agg(F.sum("source_size")).first()[0] or 0)
+    # sources by the virtual time at which they are used up; those used up at one time make one row
+    turns = own.groupBy((F.col("most") / F.col("weight")).alias("at")).agg(F.sum("most").cast("double").alias("most"), F.sum("weight").alias("weight"))
+    turns = running_sums(turns, ["at"], {"most": "most_upto", "weight": "weight_upto"}, "turns")
+    total = turns.agg(F.sum("weight")).first()[0] or 0.0
+    taken = F.col("most_upto") + F.col("at") * (total - F.col("weight_upto"))
+    level = (budget - (F.col("most_upto") - F.col("most"))) / (total - (F.col("weight_upto") - F.col("weight")))
+    # sums of doubles may fall short by their rounding
+    level = turns.filter(taken >= budget * (1 - 1e-12)).agg(F.min_by(level, "at")).first()[0] or 0.0
+    return own.withColumn("target", F.least(F.col("most").cast("double"), F.lit(level) * F.col("weight"))).select("source", "source_size", "weight", "target", "before"), level, budget
+
+
+def mix(docs: DataFrame, size: Column | None = None, epochs: int = 3, cycle: int = 3, seed: int = 606) -> DataFrame:
+    """docs (with a source, and a text unless `size` gives the words of a row) and for each row its size, its source's size,
+    weight and target, and how often and with how many words the mix takes it."""
+    n, last, first, second, upto, before, name = unused(docs, "n", "last", "first", "second", "upto", "before", "name")
+    docs = docs.withColumn(n, words(F.col("text")) if size is None else size).drop(*OUT)
+    docs = docs.withColumns({last: F.col("source").isNull(), first: row_hash(docs, seed), second: row_hash(docs, seed + 1)})
+    queue = running_sums(docs, [last, "source", first, second], {n: upto}, "queue")
+    own, level, budget = targets(queue.select("source", F.col(n).alias("size")), epochs, cycle)
+    own = materialise(own.withColumnsRenamed({"source": name, "before": before}), "targets")  # written first, so that Spark knows its size
+    placed = queue.join(own, F.col("source").eqNullSafe(F.col(name))).withColumn(upto, F.col(upto) - F.col(before))
+
+    def finish(epoch: Column | int) -> Column:
+        return (epoch * F.col("source_size") + F.col(upto)) / F.col("weight")
+
+    turns = placed.select(F.col(n).alias("size"), F.explode(F.array(*[finish(F.lit(e)) for e in range(epochs)])).alias("at"))
+    end = _end(turns, level, budget)
     copies = sum((F.when(finish(F.lit(e)) <= end, 1).otherwise(0) for e in range(epochs)), F.lit(0))
-    return queued(docs).withColumn("copies", copies).withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).drop("_hash", "_range", "_cum")
-
-
-def _last(rows: DataFrame, finish, epochs: int, level: float, budget: int) -> float:
-    """The last virtual time at which all that has finished still fits the budget; it lies just beyond the level."""
-    items = rows.select("size", "source_size", "weight", "_cum", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("_epoch")).select("size", finish(F.col("_epoch")).alias("at"))
-    items = materialise(items, "queue")
-    farthest, horizon = items.agg(F.max("at")).first()[0], 1.25 * level
-    while True:
-        near = items.filter(F.col("at") <= horizon).withColumn("_bin", F.floor(F.col("at") / F.lit(max(horizon, 1e-300)) * BINS))
-        before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # over BINS + 1 rows at most
-        starts = near.groupBy("_bin").agg(F.sum("size").alias("_sum")).select("_bin", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-        # ties in virtual time stand or fall together: the frame reaches to the last of them
-        upto = F.sum("size").over(Window.partitionBy("_bin").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
-        summed = near.withColumn("_upto", upto).join(F.broadcast(starts), "_bin").withColumn("_upto", F.col("_upto") + F.col("_start"))
-        end, over = summed.agg(F.max(F.when(F.col("_upto") <= budget, F.col("at"))), F.max(F.col("_upto") > budget)).first()
-        if over or farthest is None or horizon >= farthest:
+    mixed = placed.withColumn("copies", copies).withColumnRenamed(n, "size").withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    return mixed.drop(last, first, second, upto, before, name)
+
+
+def _end(turns: DataFrame, level: float, budget: int) -> float:
+    """The last virtual time at which all that has finished still fits the budget. Those that share a time stand or fall
+    together. The end lies just beyond the level, so what finishes far beyond it is sorted only if need be."""
+    horizon, farthest = 1.25 * level, turns.agg(F.max("at")).first()[0]
+    while farthest is not None:
+        near = running_sums(turns.filter(F.col("at") <= horizon), ["at"], {"size": "upto"}, "times")
+        over = near.filter(F.col("upto") > budget).agg(F.min("at")).first()[0]
+        if over is not None or horizon >= farthest:
+            end = (near if over is None else near.filter(F.col("at") < over)).agg(F.max("at")).first()[0]
             return -1.0 if end is None else end
-        horizon *= 2
+        horizon = max(2 * horizon, 1.0)
+    return -1.0
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """Each row as often as the mix takes it."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    copy = unused(mixed, "copy")[0]
+    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(copy)
 
 
 def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_text")), "rows")
-    return mix(rows).select("doc_id", "size", "source_size", "target", "taken", "weight", "copies")
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("words"), F.xxhash64("text").alias("text"))
+    return mix(rows, F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "weight", "copies")
