@@ -34,11 +34,13 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     fiscal = F.concat(F.lit("FY"), _two((F.col("y") + 24) % 100))
     money = lambda c: F.concat(F.lit("$"), F.format_number(F.round(c).cast("bigint"), 0))
     key = ["n_nationkey", "n_name", "y"]
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    # decimals: a sum of doubles that ends near .5 would hang on the order of addition
+    cents = lambda c, digits=12: F.col(c).cast(f"decimal({digits},2)")
+    net = cents("l_extendedprice") * (1 - cents("l_discount", 4)) * (1 + cents("l_tax", 4))
     line = lambda d, predicate, value, period, q=F.lit(0): [F.lit(d).alias("document_id"), "n_nationkey", "n_name", "y", q.alias("q"), F.lit(predicate).alias("predicate"), value.alias("value"), period.alias("period")]
-    yearly = placed.groupBy(*key).agg(F.sum("o_totalprice").alias("v")).select(*line("orders_ledger", "revenue", money(F.col("v")), fiscal))
-    quarterly = placed.groupBy(*key, "q").agg(F.sum("o_totalprice").alias("v")).select(*line("quarter_ledger", "revenue", money(F.col("v")), F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" "), fiscal), F.col("q")))
-    of_lines = sold.groupBy(*key).agg(F.sum(net).alias("v"), F.sum("l_quantity").alias("n"))
+    yearly = placed.groupBy(*key).agg(F.sum(cents("o_totalprice")).alias("v")).select(*line("orders_ledger", "revenue", money(F.col("v")), fiscal))
+    quarterly = placed.groupBy(*key, "q").agg(F.sum(cents("o_totalprice")).alias("v")).select(*line("quarter_ledger", "revenue", money(F.col("v")), F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" "), fiscal), F.col("q")))
+    of_lines = sold.groupBy(*key).agg(F.sum(net).alias("v"), F.sum(cents("l_quantity")).alias("n"))
     lines = of_lines.select(*line("line_ledger", "total revenue", money(F.col("v")), fiscal))
     volumes = of_lines.select(*line("volume_ledger", "shipments", F.format_number(F.round("n").cast("bigint"), 0), fiscal))
     noise = nation.withColumn("y", F.lit(1995)).select(*line("noise_ledger", "increased", F.col("n_nationkey").cast("string"), fiscal))

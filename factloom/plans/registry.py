@@ -286,8 +286,8 @@ def cluster_detail(spark, sf_dir):
 
 @query(
     sql.FACTS
-    + f""", dated AS (SELECT {sql.title("subject")} AS group_subject, {sql.title("predicate")} AS group_predicate, {sql.sort_key("period")} AS k, id, value FROM facts WHERE status = 'ACCEPTED')
-SELECT group_subject, group_predicate, count(*) AS n, string_agg(k || '=' || value, ';' ORDER BY k, id) AS line FROM dated GROUP BY 1, 2"""
+    + f""", keyed AS (SELECT {sql.title("subject")} AS group_subject, {sql.title("predicate")} AS group_predicate, {sql.sort_key("period")} AS k, id, value FROM facts WHERE status = 'ACCEPTED' AND coalesce(trim(period), '') <> '')
+SELECT group_subject, group_predicate, count(*) AS n, string_agg(k || '=' || value, ';' ORDER BY k, id) AS line FROM keyed GROUP BY 1, 2"""
 )
 def timeline_groups(spark, sf_dir):
     groups = views.timeline(ledger.facts(spark, sf_dir).drop("filename"), ledger.documents(spark, sf_dir))

@@ -165,14 +165,14 @@ RAW = r"""
 home AS (SELECT c_custkey, n_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 placed AS (SELECT o_orderkey, o_totalprice, n_nationkey, n_name, year(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders JOIN home ON o_custkey = c_custkey),
 of_lines AS (
-  SELECT n_nationkey, n_name, y, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS v, sum(l_quantity) AS n
+  SELECT n_nationkey, n_name, y, sum(l_extendedprice::DECIMAL(12,2) * (1 - l_discount::DECIMAL(4,2)) * (1 + l_tax::DECIMAL(4,2))) AS v, sum(l_quantity::DECIMAL(12,2)) AS n
   FROM lineitem JOIN placed ON l_orderkey = o_orderkey GROUP BY n_nationkey, n_name, y
 ),
 base AS (
-  SELECT 'orders_ledger' AS document_id, '01' AS mon, n_nationkey, n_name, y, 0 AS q, 'revenue' AS predicate, '$' || format('{:,}', CAST(round(sum(o_totalprice)) AS BIGINT)) AS value, '' AS lead
+  SELECT 'orders_ledger' AS document_id, '01' AS mon, n_nationkey, n_name, y, 0 AS q, 'revenue' AS predicate, '$' || format('{:,}', CAST(round(sum(o_totalprice::DECIMAL(12,2))) AS BIGINT)) AS value, '' AS lead
   FROM placed GROUP BY n_nationkey, n_name, y
   UNION ALL
-  SELECT 'quarter_ledger', '03', n_nationkey, n_name, y, q, 'revenue', '$' || format('{:,}', CAST(round(sum(o_totalprice)) AS BIGINT)), 'Q' || CAST(q AS VARCHAR) || ' ' FROM placed GROUP BY n_nationkey, n_name, y, q
+  SELECT 'quarter_ledger', '03', n_nationkey, n_name, y, q, 'revenue', '$' || format('{:,}', CAST(round(sum(o_totalprice::DECIMAL(12,2))) AS BIGINT)), 'Q' || CAST(q AS VARCHAR) || ' ' FROM placed GROUP BY n_nationkey, n_name, y, q
   UNION ALL SELECT 'line_ledger', '02', n_nationkey, n_name, y, 0, 'total revenue', '$' || format('{:,}', CAST(round(v) AS BIGINT)), '' FROM of_lines
   UNION ALL SELECT 'volume_ledger', '04', n_nationkey, n_name, y, 0, 'shipments', format('{:,}', CAST(round(n) AS BIGINT)), '' FROM of_lines
   UNION ALL SELECT 'noise_ledger', '05', n_nationkey, n_name, 1995, 0, 'increased', CAST(n_nationkey AS VARCHAR), '' FROM nation
