@@ -5,14 +5,20 @@ capitals, punctuation and obfuscated spellings, and length. They are the only in
 a fifth is learned, since no fixed list fits every language: words and word beginnings that toxic training texts have far
 more often than clean ones, with the logarithm of that ratio as their weight.
 
+A text is split at white space, and each distinct token is described once while a worker remembers it (the tables are
+bounded); sums over the tokens' rows give the features, so the cost hardly depends on how much a description looks at.
+
 Training: labelled rows whose crc32(doc_id as text) mod 5 is 0 are held out. Of the others at most about TRAIN_ROWS are
-used, chosen by hash: the one bounded sample here. Rows with 1 and 2 are described by the list learned on those with 3 and 4
-and the other way round, so that no row is described by words learned from itself; the trees are fitted on rows with 1, 2
-and 3, the calibration on those with 4. For scoring, the list is learned again on all four. A document with several labels counts as toxic if most of them say so.
+used, chosen by hash: the one bounded sample here. A document with several labels, or a text with several documents, counts
+as toxic if at least half of the labels say so. The distinct texts of each class are dealt evenly to PARTS parts (fewer if a
+class has fewer texts), and each part is described by a list learned on the others: no text is described by words learned
+from itself or a copy, and all lists are learned on equally many texts. The trees are fitted on all parts but the first, the
+calibration on the first; scoring uses the first part's list, so the calibration sees just what scoring will see.
 
 Defined results: null and empty texts have all features 0 and get the score of such; a null doc_id counts as held out;
-repeated rows get equal scores; without labels of both classes among the training rows the score is h / (h + 1), h the
-listed words found; an empty table gives an empty result. Input columns named score or predicted are replaced.
+repeated rows get equal scores; with fewer than two distinct training texts of either class the score is h / (h + 2), h the
+listed words found; an empty table gives an empty result. Input columns named score or predicted are replaced, all others
+pass through unchanged.
 """
 
 from __future__ import annotations
@@ -28,25 +34,25 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialise
 
-#: Insults, coarse words and threats in the corpus's languages.
+#: Insults, coarse words and threats in the corpus's languages, without words that are plain ones in another.
 INSULTS = """
 asshole bastard bitch brainless clown coward creep cretin degenerate disgrace disgusting dumb dumbass fool freak garbage
-idiot idiotic idiots ignorant imbecile jerk liar loser losers lowlife lunatic moron moronic morons parasite pathetic pig
-rat scum scumbag shameful sick sleazy stupid stupidity trash ugly useless vermin vile wimp worthless
-abruti bouffon connard conne crétin débile imbécile nul ordure pauvre-type salaud salope stupide
+idiot idiotic idiots ignorant imbecile jerk liar loser losers lowlife lunatic moron moronic morons parasite pathetic
+scum scumbag shameful sleazy stupid stupidity trash ugly useless vermin vile wimp worthless
+abruti bouffon connard conne crétin débile imbécile ordure salaud salope stupide
 arschloch blödmann dummkopf dumm idioten miststück schwachkopf trottel versager widerlich
 asqueroso basura estúpido idiota imbécil inútil maldito patético payaso tonto
 """.split()
-COARSE = "bloody bullshit crap cunt damn dick fuck fucked fucker fucking hell piss prick shit shitty slut whore merde putain scheiße scheisse verdammt mierda puta joder".split()
-THREATS = "attack beat burn die hang hate hurt kill murder punch shoot stab strangle suffer tuer frapper töten umbringen hassen matar odiar".split()
-SECOND = "you your yours yourself u ur ya tu toi ton vous votre du dich dein ihr euch usted ustedes tú vosotros".split()
+COARSE = "bloody bullshit crap cunt damn fuck fucked fucker fucking piss prick shit shitty slut whore merde putain scheiße scheisse verdammt mierda puta joder".split()
+THREATS = "attack beat burn hang hate hurt kill murder punch shoot stab strangle suffer tuer frapper töten umbringen hassen matar odiar".split()
+SECOND = "you your yours yourself u ur ya tu toi vous votre dich dein ihr euch usted ustedes tú vosotros".split()
 
-TRAIN_ROWS = 40_000
+TRAIN_ROWS, PARTS = 40_000, 4
 NEAR = 4
 #: The learned list: lengths of word beginnings, least ratio of shares, least log-likelihood ratio (about one in a million
 #: by chance), most entries.
@@ -59,6 +65,10 @@ _MASKED = re.compile(r"(?<!\w)[^\W\d_]*(?:[0-9@$!|*]+[^\W\d_]+)+[0-9@$!|*]*|(?<!
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*]){2,}[^\W\d_](?!\w)")
 _RUNS = re.compile(r"[!?.*#$%&]{2,}")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
+_BY_LENGTH: dict[int, list[str]] = {}
+for _w in _LISTED:
+    if _LISTED[_w] < 3:
+        _BY_LENGTH.setdefault(len(_w), []).append(_w)
 
 
 def _obfuscated(text: str) -> int:
@@ -71,105 +81,152 @@ def _obfuscated(text: str) -> int:
     return found + sum(re.sub(r"[.\-_*]", "", m[0]) in _LISTED for m in _SPACED.finditer(text))
 
 
-_BY_LENGTH: dict[int, list[str]] = {}
-for _w in _LISTED:
-    if _LISTED[_w] < 3:
-        _BY_LENGTH.setdefault(len(_w), []).append(_w)
-
-
-class Learned(dict):
-    """Weight of each word by the learned list, remembered up to a bound."""
-
-    def __init__(self, weights: dict[str, float]):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
-            self.clear()
-        get = self.weights.get
-        self[word] = found = max(get(word + "$", 0.0), *(get(word[:n], 0.0) for n in STEMS if len(word) >= n), 0.0)
-        return found
-
-
 def stems(text: str) -> set[str]:
     """A text's distinct words (closed by $) and word beginnings."""
     words = set(_WORDS.findall(text.lower()))
     return {w + "$" for w in words}.union(*({w[:n] for w in words if len(w) >= n} for n in STEMS))
 
 
-def features(text: str | None, learned: Learned) -> list[float]:
-    if not text:
+#: What is known of a token (a text's parts between white space): sums over these columns, and the largest of the last.
+COUNTED = ["words", "letters", "upper", "marks", "shouted", "runs", "hidden", "told", "told_weight", "most"]
+#: Tokens are remembered up to this many, and none longer than this.
+REMEMBERED, LONG = 300_000, 64
+
+
+class Tokens(dict):
+    """The number of each token's row in a table of what is known of it; every token is described once while remembered."""
+
+    def __init__(self, learned: dict[str, float]):
+        super().__init__()
+        self.learned = learned
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.table = np.zeros((4096, len(COUNTED)))
+        self.telling: dict[int, tuple[list[tuple[int, int, str]], list[str]]] = {}  # listed words with their place and kind, learned words
+
+    def weight(self, word: str) -> float:
+        get = self.learned.get
+        return max(get(word + "$", 0.0), *(get(word[:n], 0.0) for n in STEMS if len(word) >= n), 0.0)
+
+    def describe(self, token: str) -> tuple[list[float], list[tuple[int, int, str]], list[str]]:
+        low = token.lower()
+        words = _WORDS.findall(low)
+        listed = [(i, _LISTED[w], w) for i, w in enumerate(words) if w in _LISTED]
+        told = [(x, w) for w in words if (x := self.weight(w))]
+        row = [
+            len(words), sum(map(len, words)), sum(map(token.count, string.ascii_uppercase)), sum(map(token.count, "!?#$%&*")), sum(len(w) > 2 and w.isupper() for w in _WORDS.findall(token)),
+            len(_RUNS.findall(token)), _obfuscated(low), len(told), sum(x for x, _ in told), max((x for x, _ in told), default=0.0),
+        ]
+        return row, listed, [w for _, w in told]
+
+    def __missing__(self, token: str) -> int:
+        row, listed, told = self.describe(token)
+        number = len(self)
+        if number == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[number] = row
+        if listed or told:
+            self.telling[number] = listed, told
+        self[token] = number
+        return number
+
+
+def features(text: str | None, known: Tokens) -> list[float]:
+    """The features of a whole text, in the order of FEATURES."""
+    tokens = text.split() if text else []
+    if not tokens:
         return [0.0] * len(FEATURES)
-    low = text.lower()
-    words = _WORDS.findall(low)
-    n, size = max(1, len(words)), len(text)
-    at = [(i, _LISTED[w], w) for i, w in enumerate(words) if w in _LISTED]
-    hits = [[i for i, k, _ in at if k == kind] for kind in range(4)]
-    near, you = 0, np.array(hits[3])
+    if len(known) > REMEMBERED:
+        known.forget()
+    sums, most, before = np.zeros(len(COUNTED)), 0.0, 0
+    listed: list[tuple[int, int, str]] = []
+    told: set[str] = set()
+    for a in range(0, len(tokens), 100_000):
+        part = tokens[a : a + 100_000]
+        for token in {t for t in part if len(t) > LONG}:  # described anew in each text
+            row, here, kinds = known.describe(token)
+            most, told = max(most, row[-1]), told | set(kinds)
+            for _ in range(part.count(token)):  # their words count as standing before the others
+                sums += row
+                listed += [(before + i, k, w) for i, k, w in here]
+                before += row[0]
+        at = np.array([known[t] for t in part if len(t) <= LONG], np.int64)
+        rows = known.table[at]
+        sums += rows.sum(0)
+        if len(at):
+            most = max(most, rows[:, -1].max())
+        begin = before + np.cumsum(rows[:, 0]) - rows[:, 0]
+        for i in [i for i, t in enumerate(at.tolist()) if t in known.telling]:
+            here, kinds = known.telling[int(at[i])]
+            listed += [(int(begin[i]) + place, k, w) for place, k, w in here]
+            told.update(kinds)
+        before += int(rows[:, 0].sum())
+    words, letters, upper, marks, shouted, runs, hidden, n_told, weight, _ = sums.tolist()
+    n, size, letters = max(1.0, words), len(text), max(1.0, letters)
+    hits = [[i for i, k, _ in listed if k == kind] for kind in range(4)]
+    near, you = 0, np.sort(np.array(hits[3], np.int64))
     if len(you):
-        near = sum(bool(np.abs(you - i).min() <= NEAR) for i in hits[0] + hits[1] + hits[2])
-    hidden = _obfuscated(low) if any(c in text for c in "0123456789@$!|*.-_") else 0
-    marks = sum(map(text.count, "!?#$%&*"))
-    letters = max(1, sum(map(len, words)))
-    upper = sum(map(text.count, string.ascii_uppercase))
-    told = [x for x in map(learned.__getitem__, words) if x]
-    kinds = len({w for w in words if learned[w]}) if told else 0
-    shouted = sum(len(w) > 2 and w.isupper() for w in _WORDS.findall(text)) if upper > letters / 20 else 0
+        rude = np.array(hits[0] + hits[1] + hits[2], np.int64)
+        right = np.searchsorted(you, rude)
+        near = int((np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - rude), np.abs(you[np.maximum(right - 1, 0)] - rude)) <= NEAR).sum())
     return [
-        1000 * len(hits[0]) / n, len(hits[0]), len({w for _, k, w in at if k < 3}), 1000 * len(hits[1]) / n, 1000 * len(hits[2]) / n, 1000 * len(hits[3]) / n, 1000 * near / n,
-        100 * upper / letters, 100 * shouted / n, 100 * marks / size, 1000 * len(_RUNS.findall(text)) / n if marks else 0.0, 1000 * hidden / n, hidden, float(np.log1p(n)),
-        1000 * sum(told) / n, len(told), kinds, max(told, default=0.0),
+        1000 * len(hits[0]) / n, len(hits[0]), len({w for _, k, w in listed if k < 3}), 1000 * len(hits[1]) / n, 1000 * len(hits[2]) / n, 1000 * len(hits[3]) / n, 1000 * near / n,
+        100 * upper / letters, 100 * shouted / n, 100 * marks / size, 1000 * runs / n, 1000 * hidden / n, hidden, float(np.log1p(n)), 1000 * weight / n, n_told, len(told), most,
     ]
 
 
-def with_features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(weights)  # ENTRIES at most
+def described(rows: DataFrame, lists: dict[int, dict[str, float]], which: Column) -> DataFrame:
+    """rows (with a text) and `features`; `which` names the list of learned words that describes a row."""
+    sent = rows.sparkSession.sparkContext.broadcast(lists)  # ENTRIES at most each
 
     @F.pandas_udf("array<double>")
-    def extract(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        learned = Learned(sent.value)
-        for batch in texts:
-            yield pd.Series([[float(x) for x in features(t, learned)] for t in batch.tolist()])
+    def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = {k: Tokens(v) for k, v in sent.value.items()}
+        for texts, names in batches:
+            yield pd.Series([[float(x) for x in features(t, known[k])] for t, k in zip(texts.tolist(), names.tolist())])
 
-    return rows.withColumn("_features", extract("text"))
+    return rows.withColumn("features", extract("text", which))
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def learn(train: DataFrame) -> dict[str, float]:
-    """The learned list of training rows (text, _label): entry and weight."""
+def learn(train: DataFrame, parts: int) -> dict[int, dict[str, float]]:
+    """For each part k the list learned on the other parts of the training texts (text, label, part): entry and weight."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            keys = list(clean.keys() | toxic.keys())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
+            keys = [(k, stem) for k in seen for stem in seen[k]]
+            return pa.RecordBatch.from_arrays([pa.array([k // 2 for k, _ in keys], pa.int32()), pa.array([k % 2 for k, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.string()), pa.array([seen[k][s] for k, s in keys], pa.int64())], ["part", "label", "stem", "n"])
 
-        clean, toxic = Counter(), Counter()
+        seen: dict[int, Counter] = {}
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if label else clean).update(stems(text or ""))
-            if len(clean) + len(toxic) > 600_000:
+            for text, label, part in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "part"))):
+                seen.setdefault(2 * part + int(label), Counter()).update(stems(text or ""))
+            if sum(map(len, seen.values())) > 600_000:
                 yield out()
-                clean, toxic = Counter(), Counter()
-        if clean or toxic:
+                seen = {}
+        if seen:
             yield out()
 
-    # copies of one text would make its words look telling
-    once = train.groupBy("_label", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text"))
-    sizes = {r["_label"]: r["n"] for r in once.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1.0, 0), sizes.get(0.0, 0)
-    if not bad or not good:
-        return {}
-    sums = once.select("text", "_label").mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = ((F.col("toxic") + 0.2) / bad) / ((F.col("clean") + 0.2) / good)
-    rows, share = F.col("toxic") + F.col("clean"), bad / (bad + good)
-    part = lambda n, p: F.when(n > 0, n * F.log(n / (rows * p))).otherwise(0.0)
-    evidence = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share))
-    told = sums.filter((evidence >= EVIDENCE) & (ratio >= RATIO)).select("stem", F.log(ratio).alias("weight"))
-    return {r.stem: r.weight for r in told.orderBy(F.desc("weight"), "stem").limit(ENTRIES).collect()}
+    sizes = train.groupBy("part", "label").count().collect()  # two rows for each part
+    counts = train.select("text", "label", "part").mapInArrow(count, "part int, label int, stem string, n long")
+    among = lambda label, k: F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("part") != k), F.col("n"))), F.lit(0))
+    sums = materialise(counts.groupBy("stem").agg(*[among(label, k).alias(f"{name}{k}") for k in range(parts) for label, name in ((1, "toxic"), (0, "clean"))]), "stems")
+    out = {}
+    for k in range(parts):
+        bad, good = (sum(r["count"] for r in sizes if r["label"] == label and r["part"] != k) for label in (1.0, 0.0))
+        toxic, clean = F.col(f"toxic{k}"), F.col(f"clean{k}")
+        ratio = ((toxic + 0.2) / bad) / ((clean + 0.2) / good)
+        rows, share = toxic + clean, bad / (bad + good)
+        term = lambda n, p: F.when(n > 0, n * F.log(n / (rows * p))).otherwise(0.0)  # noqa: B023, E731
+        evidence = 2 * (term(toxic, share) + term(clean, 1 - share))
+        told = sums.filter((evidence >= EVIDENCE) & (ratio >= RATIO)).select("stem", F.log(ratio).alias("weight"))
+        out[k] = {r.stem: r.weight for r in told.orderBy(F.desc("weight"), "stem").limit(ENTRIES).collect()}
+    return out
 
 
 class Scorer:
@@ -179,38 +236,50 @@ class Scorer:
         self.weights, self.trees, self.calibration = weights, trees, calibration
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        rows = with_features(rows.drop("score", "predicted"), self.weights)
-        names = [c for c in rows.columns if c != "_features"]
+        rows = rows.drop("score", "predicted")
+        # the columns of the input travel as one, so that none of the names used here can clash with them
+        work = described(rows.select(F.struct("*").alias("row"), F.col("text").alias("text")), {0: self.weights}, F.lit(0)).drop("text")
         if self.trees is None:
-            hits = F.get("_features", F.lit(FEATURES.index("insult_words"))) + F.get("_features", F.lit(FEATURES.index("obfuscated_words")))
-            score = hits / (hits + 1)
+            hits = F.get("features", F.lit(FEATURES.index("insult_words"))) + F.get("features", F.lit(FEATURES.index("obfuscated_words")))
+            score = hits / (hits + 2)
         else:
-            rows = self.trees.transform(rows.withColumn("_vector", array_to_vector("_features"))).withColumn("_raw", vector_to_array("_probability")[1])
-            rows = self.calibration.transform(rows)
+            work = self.trees.transform(work.withColumn("vector", array_to_vector("features"))).withColumn("raw", vector_to_array("probability")[1])
+            work = self.calibration.transform(work)
             # the calibration is a step-like map; a thousandth of the trees' own score keeps the order inside its steps
-            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("_level") + 0.001 * F.col("_raw")))
-        return rows.select(*[f"`{c}`" for c in names], score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("level") + 0.001 * F.col("raw")))
+        return work.select("row.*", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
-    """docs: doc_id and text; labels: doc_id and toxic."""
-    truth = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) >= 0.5).cast("double").alias("_label"))
-    truth = materialise(truth.withColumn("_fold", fold(F.col("doc_id"))).filter("_fold != 0"), "labels")
+def training_texts(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple[DataFrame, int]:
+    """(text, label, part): the distinct texts of the training rows, each class dealt evenly to the parts, and how many there are."""
+    truth = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("label"))
+    truth = materialise(truth.filter(fold(F.col("doc_id")) != 0), "labels")
     share = min(1.0, train_rows / max(1, truth.count()))
     chosen = truth.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # about train_rows ids, so the broadcast is bounded by that parameter
-    train = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "train")
-    classes = {(r["_label"], r["_fold"]) for r in train.select("_label", "_fold").distinct().collect()}
-    if not {(x, k) for x in (0.0, 1.0) for k in (3, 4)} <= classes:
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    once = materialise(rows.groupBy(F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), (F.avg("label") >= 0.5).cast("double").alias("label")), "train")
+    sizes = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    parts = min(PARTS, sizes.get(0.0, 0), sizes.get(1.0, 0))
+    if parts < 2:
+        return once, 0
+    place = F.row_number().over(Window.partitionBy("label").orderBy("hash")) - 1  # over the sample's hashes only
+    dealt = once.select("hash", "label", (place % parts).alias("part"))
+    return materialise(once.join(F.broadcast(dealt.select("hash", "part")), "hash"), "parts"), parts
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """docs: doc_id and text; labels: doc_id and toxic."""
+    train, parts = training_texts(docs, labels, train_rows)
+    if not parts:
         return Scorer({})
-    low, high = train.filter("_fold < 3"), train.filter("_fold >= 3")
-    described = with_features(high, learn(low)).unionByName(with_features(low, learn(high)))
-    known = materialise(described.drop("text"), "features").withColumn("_vector", array_to_vector("_features"))
-    learner = GBTClassifier(featuresCol="_vector", labelCol="_label", predictionCol="_prediction", maxDepth=3, maxIter=20, stepSize=0.3, minInstancesPerNode=3, maxBins=64, seed=1)
-    trees = learner.setRawPredictionCol("_margin").setProbabilityCol("_probability").fit(known.filter("_fold < 4"))
-    held = trees.transform(known.filter("_fold = 4")).withColumn("_raw", vector_to_array("_probability")[1])
-    calibration = IsotonicRegression(featuresCol="_raw", labelCol="_label", predictionCol="_level").fit(held.select("_raw", "_label"))
-    return Scorer(learn(train), trees, calibration)
+    lists = learn(train, parts)
+    known = materialise(described(train, lists, F.col("part")).select("label", "part", "features"), "features").withColumn("vector", array_to_vector("features"))
+    learner = GBTClassifier(featuresCol="vector", labelCol="label", predictionCol="prediction", maxDepth=3, maxIter=20, stepSize=0.3, minInstancesPerNode=3, maxBins=64, seed=1)
+    trees = learner.setRawPredictionCol("margin").setProbabilityCol("probability").fit(known.filter("part > 0"))
+    held = trees.transform(known.filter("part = 0")).withColumn("raw", vector_to_array("probability")[1])
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="level").fit(held.select("raw", "label"))
+    return Scorer(lists[0], trees, calibration)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
