@@ -4,14 +4,16 @@ Rules are (host, path prefix, verdict). Their keys `host/path` are hashed by xxh
 the full strings behind them. The file goes to the executors by SparkContext.addFile and is memory-mapped there, so the
 workers of one machine share its pages. Each url is probed with those of its host's suffixes and path prefixes whose
 lengths occur among the rules, by one vectorised binary search per batch; a hit counts only if the stored string is equal,
-so digest collisions cannot decide. Of the rules that fit, the longest string wins (ties cannot differ, as strings are
-unique; of rules with the same string the last one given holds).
+so digest collisions cannot decide. Of the rules that fit, the one with most UTF-8 bytes in host and path wins, of equally
+long ones that with the longer host (then host and path are the same text); of rules given twice the last one holds.
 
 The file's size is checked against MAX_BYTES before it is shipped. Beyond that, `judge_by_join` does the same by a shuffled
 join on the digest with the string compared, without shipping anything.
 
 Defined results: a null url, or one without `://`, has an empty host and path and fits no rule; such urls and all others
-that no rule fits get the default verdict (allow); an empty rule list judges everything so; repeated rows are judged alike.
+that no rule fits get the default verdict (allow); an empty rule list judges everything so; repeated rows are judged alike;
+very long urls are judged whole; an empty table gives an empty result. Columns named host, path, rule or verdict are replaced,
+all others pass through unchanged.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.common import unused
+
 Rule = tuple[str, str, str]  # host, path prefix, verdict
 
 MAX_BYTES = 256 << 20
@@ -81,7 +85,7 @@ class DigestArray:
                 heads = [path[:n] for n in self.path_lengths if n <= len(path)]
                 keys += [t + b"\0" + q for t in tails for q in heads]
                 owner += [i] * (len(tails) * len(heads))
-        best: list[tuple[int, int]] = [(-1, -1)] * len(hosts)
+        best: list[tuple[int, int, int]] = [(-1, -1, -1)] * len(hosts)  # length, the host's part of it, number
         if keys and len(self.digests):
             probes = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), "<u8", len(keys))
             at = np.searchsorted(self.digests, probes)
@@ -89,10 +93,10 @@ class DigestArray:
                 j = int(at[k])
                 while j < len(self.digests) and self.digests[j] == probes[k]:  # past those that only share the digest
                     if self.string(j) == keys[k]:
-                        best[owner[k]] = max(best[owner[k]], (len(keys[k]), j))
+                        best[owner[k]] = max(best[owner[k]], (len(keys[k]), int(self.hosts[j]), j))
                         break
                     j += 1
-        return [None if j < 0 else self.string(j).replace(b"\0", b"", 1).decode() for _, j in best], [j for _, j in best]
+        return [None if j < 0 else self.string(j).replace(b"\0", b"", 1).decode() for *_, j in best], [j for *_, j in best]
 
 
 _open: dict[str, DigestArray] = {}
@@ -124,7 +128,8 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", max_bytes
         found, at = array.longest(hosts.tolist(), paths.tolist())
         return pd.DataFrame({"rule": pd.Series(found, dtype=object), "verdict": [default if j < 0 else VERDICTS[int(array.verdicts[j])] for j in at]})
 
-    return hosted.withColumn("_found", probe("host", "path")).withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    found = unused(hosted, "found")[0]
+    return hosted.withColumn(found, probe("host", "path")).withColumns({"rule": F.col(found)["rule"], "verdict": F.col(found)["verdict"]}).drop(found)
 
 
 def judge_by_join(hosted: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
@@ -133,13 +138,15 @@ def judge_by_join(hosted: DataFrame, rules: list[Rule], default: str = "allow")
     table = spark.createDataFrame([(h, p, v, i) for i, (h, p, v) in enumerate(rules)], "h string, p string, v string, i long")
     table = table.groupBy("h", "p").agg(F.max_by("v", "i").alias("v")).withColumn("digest", F.xxhash64("h", "p"))
     lengths = sorted({len(p) for _, p, _ in rules})
+    row, found = unused(hosted, "row", "found")
     parts = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     heads = F.array_distinct(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]))
-    keyed = hosted.withColumn("_row", F.monotonically_increasing_id())
-    probes = keyed.select("_row", F.explode(tails).alias("h"), heads.alias("ps")).select("_row", "h", F.explode("ps").alias("p")).filter("p is not null").withColumn("digest", F.xxhash64("h", "p"))
-    hits = probes.join(table, ["digest", "h", "p"]).groupBy("_row").agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "v"), F.struct(F.length("h") + F.length("p"), F.length("h"))).alias("_found"))
-    return keyed.join(hits, "_row", "left").withColumns({"rule": F.col("_found.rule"), "verdict": F.coalesce("_found.v", F.lit(default))}).drop("_row", "_found")
+    keyed = hosted.withColumn(row, F.monotonically_increasing_id())
+    probes = keyed.select(row, F.explode(tails).alias("h"), heads.alias("ps")).select(row, "h", F.explode("ps").alias("p")).filter("p is not null").withColumn("digest", F.xxhash64("h", "p"))
+    length = F.struct(F.octet_length("h") + F.octet_length("p"), F.octet_length("h"))
+    hits = probes.join(table, ["digest", "h", "p"]).groupBy(row).agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "v"), length).alias(found))
+    return keyed.join(hits, row, "left").withColumns({"rule": F.col(found)["rule"], "verdict": F.coalesce(F.col(found)["v"], F.lit(default))}).drop(row, found)
 
 
 #: The rules of the query.
