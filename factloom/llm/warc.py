@@ -10,9 +10,13 @@ and listed, with their sizes and SHA-256, in a manifest (a Parquet table written
 
 Files are opened through pyarrow's file systems by the folder's URI, so the folder can be on any shared store.
 
+Temporary files of attempts that did not count are removed once the manifest is written.
+
 Defined results: null payloads are empty; repeated rows are records of their own with equal record ids numbered apart; a
-null url or id is written as an empty header; very long payloads are written and read whole; an empty table gives an empty
-archive with an empty manifest.
+null url has no header and an empty one an empty header; control characters in a url are percent-encoded, which a header says,
+and decoded on reading; a null page_id is written as an empty header, refers to nothing and is not referred to while another
+copy has an id; very long payloads are written and read whole; an empty table gives an empty archive with an empty manifest.
+Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -54,22 +59,35 @@ def record_id(page: int | None, digest: str, copy: int = 0) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'factloom:{page}:{digest}:{copy}')}>"
 
 
-def _one_line(value: object) -> str:
-    """Header values may not break the header: control characters are percent-encoded."""
-    return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(value if value is not None else ""))
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
+def _uri(name: str, url: str | None) -> list[str]:
+    """A header with a url: none for null. A url with control characters, which would break the header, is percent-encoded
+    (these and the percent sign), and a second header says so."""
+    if url is None:
+        return []
+    if not _CONTROL.search(url):
+        return [f"{name}: {url}"]
+    return [f"{name}: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url.replace('%', '%25'))}", f"X-{name}-Encoding: percent"]
+
+
+def _url(fields: dict[str, str], name: str = "WARC-Target-URI") -> str | None:
+    url = fields.get(name)
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url) if f"X-{name}-Encoding" in fields else url
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: int = 0) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, copy: int = 0, referred: str | None = None) -> bytes:
     """One record, headers and block. A revisit's block holds the HTTP headers only, with the full payload's length."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""])
     block = http + (payload if refers_to is None else b"")
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest, copy)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
+        *_uri("WARC-Target-URI", url), f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", f"X-Page-ID: {'' if page is None else page}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", *_uri("WARC-Refers-To-Target-URI", referred), f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers_to}"]
     return CRLF.join([*(h.encode() for h in head), b"", block, b"", b""])
 
 
@@ -87,12 +105,13 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROL
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), utf8_bytes(html).alias("n"))
-    keys = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("times")).filter("times > 1").select("digest", "refers_to")
+    keys = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("referred"), F.count("*").alias("times")).filter("times > 1").drop("times")
     # written first, so that Spark knows its size: it is broadcast only if small, else both sides are shuffled
     keys = materialise(keys, "copies")
     linked = rows.join(keys, "digest", "left").withColumn("refers_to", F.when(F.col("n") >= least, F.col("refers_to")))
     linked = linked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
-    ordered = linked.repartitionByRange(partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest")
+    order = ["page_id", "digest", "url"]
+    ordered = linked.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
 
@@ -112,10 +131,10 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROL
                 out = None
 
         for batch in batches:
-            for page, url, html, sha1, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
+            for page, url, html, sha1, refers, referred in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "referred"))):
                 copy = copy + 1 if (page, sha1) == last else 0
                 last = (page, sha1)
-                data = member(record(page, url, html.encode(), bare(sha1), refers, copy), level)
+                data = member(record(page, url, html.encode(), bare(sha1), refers, copy, referred), level)
                 if out is None:
                     file = f"part-{part:05d}-{len(done):04d}.warc.gz"
                     now = {"file": file, "temporary": f".{file}.{attempt}", "records": 0, "bytes": 0, "first": page, "last": page}
@@ -130,7 +149,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROL
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], [c.split()[0] for c in MANIFEST.split(", ")])
 
-    written = materialise(ordered.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, MANIFEST), "written")
+    written = materialise(ordered.select("page_id", "url", "html", "digest", "refers_to", "referred").mapInArrow(write, MANIFEST), "written")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
@@ -141,6 +160,9 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROL
             yield batch
 
     written.mapInArrow(commit, MANIFEST).drop("temporary").write.parquet(f"{folder}/manifest")
+    for left in fs.get_file_info(pafs.FileSelector(root)):
+        if left.base_name.startswith(".part-"):
+            fs.delete_file(left.path)
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -193,7 +215,7 @@ def read_archive(manifest: DataFrame, folder: str, payloads: bool = True) -> Dat
                         digest = r["WARC-Payload-Digest"].removeprefix("sha1:")
                         if r["WARC-Type"] == "response" and (len(r["payload"]) != r["length"] or base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest):
                             raise ValueError(f"{file}: a payload does not match its header")
-                        rows.append((number("X-Page-ID"), r["WARC-Target-URI"], r["WARC-Type"], r["length"], digest, number("X-Refers-To-Page"), r["payload"] if payloads else None))
+                        rows.append((number("X-Page-ID"), _url(r), r["WARC-Type"], r["length"], digest, number("X-Refers-To-Page"), r["payload"] if payloads else None))
                         held += len(data) if payloads else 200
                         if held > 4_000_000:
                             yield batch(rows)
