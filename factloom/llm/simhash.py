@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, partitions
+from factloom.llm.common import materialise, partitions, unused
 
 CHUNK = 4096
 
@@ -60,14 +60,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """docs and `_fp`, the fingerprint of the column text as a signed long."""
+def with_fingerprints(docs: DataFrame, width: int, to: str = "fp") -> DataFrame:
+    """docs and `to`, the fingerprint of the column text as a signed long."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, width)) for t in texts.tolist()], dtype="int64")
 
-    return docs.withColumn("_fp", prints("text"))
+    return docs.withColumn(to, prints("text"))
 
 
 # --- the code -----------------------------------------------------------------------------------------------------------
@@ -203,31 +203,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, threshold: int = 3) -> DataFrame:
-    """rows (doc_id, _fp) with component_id: the smallest doc_id that can be reached by links."""
+    """rows (doc_id, fp) with component_id, the smallest doc_id that can be reached by links, and root, the class's smallest
+    fingerprint."""
     rows = materialise(rows, "prints")
-    prints = materialise(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct")
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     trees = components(links_at_anchors(prints.select("fp"), threshold))
     rooted = prints.join(trees, prints.fp == trees.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(classes, "_fp")
+    return rows.join(rooted.join(names, "root").select("fp", "root", "component_id"), "fp")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: int = 3) -> DataFrame:
     """docs without all but one row of each class: a row with the class's smallest doc_id stays.
 
     Width and threshold are those of the operator's contract for pipelines (five-word shingles, 3 bits: a similarity well
-    over 0.8). Texts without words are not near-duplicates of one another's content and are all kept but exact rows.
+    over 0.8). All texts without words share fingerprint zero and so are one class, of which one row stays. Of rows that share
+    the class's smallest doc_id, one stays. All columns pass through unchanged, whatever their names.
     """
-    marked = with_fingerprints(docs, width)
-    classes = near_duplicates(marked.select("doc_id", "_fp"), threshold)
-    stay = classes.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("_fp").alias("_f")).distinct()
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    fp, own, print_ = unused(docs, "fp", "own", "print")
+    marked = with_fingerprints(docs, width, fp)
+    classes = near_duplicates(marked.select("doc_id", F.col(fp).alias("fp")), threshold)
+    first = F.min_by(F.struct("doc_id", "fp"), F.struct(F.col("doc_id").isNull(), "doc_id", "fp"))
+    stay = classes.groupBy("root").agg(first.alias("s")).select(F.col("s.doc_id").alias(own), F.col("s.fp").alias(print_))
+    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(fp) == F.col(print_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", fp]).drop(fp)
 
 
 def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     marked = with_fingerprints(docs, 3).drop("text")
-    return near_duplicates(marked).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_duplicates(marked).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
