@@ -91,5 +91,6 @@ def repeat(mixed: DataFrame) -> DataFrame:
 
 def op6_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("words"), F.xxhash64("text").alias("text"))
+    # written first: a range-sort reads its input twice
+    rows = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("words"), F.xxhash64("text").alias("text")), "rows")
     return mix(rows, F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "weight", "copies")
