@@ -87,83 +87,97 @@ def stems(text: str) -> set[str]:
     return {w + "$" for w in words}.union(*({w[:n] for w in words if len(w) >= n} for n in STEMS))
 
 
-#: What is known of a token (a text's parts between white space): sums over these columns, and the largest of the last.
-COUNTED = ["words", "letters", "upper", "marks", "shouted", "runs", "hidden", "told", "told_weight", "most"]
+#: What is known of a token (a text's parts between white space): sums over these columns, the largest of `most`.
+COUNTED = ["words", "letters", "upper", "marks", "shouted", "runs", "hidden", "told", "told_weight", "most", "telling"]
 #: Tokens are remembered up to this many, and none longer than this.
-REMEMBERED, LONG = 300_000, 64
+REMEMBERED, LONG = 200_000, 64
 
 
 class Tokens(dict):
     """The number of each token's row in a table of what is known of it; every token is described once while remembered."""
 
-    def __init__(self, learned: dict[str, float]):
+    def __init__(self, learned: dict[str, float], remembered: int = REMEMBERED):
         super().__init__()
-        self.learned = learned
+        self.learned, self.remembered = learned, remembered
+        # a word that begins otherwise is on no list
+        self.heads = {entry.rstrip("$")[:4] for entry in learned} | {w[:4] for w in _LISTED}
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.table = np.zeros((4096, len(COUNTED)))
+        self.table, self.new = np.zeros((4096, len(COUNTED))), []
         self.telling: dict[int, tuple[list[tuple[int, int, str]], list[str]]] = {}  # listed words with their place and kind, learned words
 
     def weight(self, word: str) -> float:
         get = self.learned.get
         return max(get(word + "$", 0.0), *(get(word[:n], 0.0) for n in STEMS if len(word) >= n), 0.0)
 
-    def describe(self, token: str) -> tuple[list[float], list[tuple[int, int, str]], list[str]]:
+    def describe(self, token: str) -> tuple[tuple[float, ...], list[tuple[int, int, str]], list[str]]:
         low = token.lower()
         words = _WORDS.findall(low)
         listed = [(i, _LISTED[w], w) for i, w in enumerate(words) if w in _LISTED]
         told = [(x, w) for w in words if (x := self.weight(w))]
-        row = [
+        row = (
             len(words), sum(map(len, words)), sum(map(token.count, string.ascii_uppercase)), sum(map(token.count, "!?#$%&*")), sum(len(w) > 2 and w.isupper() for w in _WORDS.findall(token)),
-            len(_RUNS.findall(token)), _obfuscated(low), len(told), sum(x for x, _ in told), max((x for x, _ in told), default=0.0),
-        ]
+            len(_RUNS.findall(token)), _obfuscated(low), len(told), sum(x for x, _ in told), max((x for x, _ in told), default=0.0), bool(listed or told),
+        )
         return row, listed, [w for _, w in told]
 
     def __missing__(self, token: str) -> int:
-        row, listed, told = self.describe(token)
-        number = len(self)
-        if number == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[number] = row
-        if listed or told:
-            self.telling[number] = listed, told
-        self[token] = number
+        number = self[token] = len(self)
+        word = token[:-1] if token[-1] in ",.;:" else token
+        if word.isalpha() and word.islower() and word[:4] not in self.heads:  # the usual case: one word that is on no list
+            self.new.append((1, len(word), 0, 0, 0, 0, 0, 0, 0, 0, 0))
+        else:
+            row, listed, told = self.describe(token)
+            self.new.append(row)
+            if listed or told:
+                self.telling[number] = listed, told
         return number
 
+    def rows(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of tokens and their rows."""
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.new:
+            while len(self) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[len(self) - len(self.new) : len(self)] = self.new
+            self.new = []
+        return at, self.table[at]
+
 
 def features(text: str | None, known: Tokens) -> list[float]:
     """The features of a whole text, in the order of FEATURES."""
     tokens = text.split() if text else []
     if not tokens:
         return [0.0] * len(FEATURES)
-    if len(known) > REMEMBERED:
+    if len(known) > known.remembered:
         known.forget()
     sums, most, before = np.zeros(len(COUNTED)), 0.0, 0
     listed: list[tuple[int, int, str]] = []
     told: set[str] = set()
     for a in range(0, len(tokens), 100_000):
         part = tokens[a : a + 100_000]
-        for token in {t for t in part if len(t) > LONG}:  # described anew in each text
-            row, here, kinds = known.describe(token)
-            most, told = max(most, row[-1]), told | set(kinds)
-            for _ in range(part.count(token)):  # their words count as standing before the others
+        if max(map(len, part)) > LONG:
+            for token in [t for t in part if len(t) > LONG]:  # described anew; their words count as standing before the others
+                row, here, kinds = known.describe(token)
                 sums += row
+                most, told = max(most, row[-2]), told | set(kinds)
                 listed += [(before + i, k, w) for i, k, w in here]
                 before += row[0]
-        at = np.array([known[t] for t in part if len(t) <= LONG], np.int64)
-        rows = known.table[at]
+            part = [t for t in part if len(t) <= LONG]
+        at, rows = known.rows(part)
         sums += rows.sum(0)
-        if len(at):
-            most = max(most, rows[:, -1].max())
-        begin = before + np.cumsum(rows[:, 0]) - rows[:, 0]
-        for i in [i for i, t in enumerate(at.tolist()) if t in known.telling]:
-            here, kinds = known.telling[int(at[i])]
-            listed += [(int(begin[i]) + place, k, w) for place, k, w in here]
-            told.update(kinds)
+        telling = np.flatnonzero(rows[:, -1])
+        if len(telling):
+            most = max(most, rows[telling, -2].max())
+            begin = before + np.cumsum(rows[:, 0]) - rows[:, 0]
+            for i in telling.tolist():
+                here, kinds = known.telling[int(at[i])]
+                listed += [(int(begin[i]) + place, k, w) for place, k, w in here]
+                told.update(kinds)
         before += int(rows[:, 0].sum())
-    words, letters, upper, marks, shouted, runs, hidden, n_told, weight, _ = sums.tolist()
+    words, letters, upper, marks, shouted, runs, hidden, n_told, weight, *_ = sums.tolist()
     n, size, letters = max(1.0, words), len(text), max(1.0, letters)
     hits = [[i for i, k, _ in listed if k == kind] for kind in range(4)]
     near, you = 0, np.sort(np.array(hits[3], np.int64))
@@ -181,9 +195,11 @@ def described(rows: DataFrame, lists: dict[int, dict[str, float]], which: Column
     """rows (with a text) and `features`; `which` names the list of learned words that describes a row."""
     sent = rows.sparkSession.sparkContext.broadcast(lists)  # ENTRIES at most each
 
+    n_lists = len(lists)
+
     @F.pandas_udf("array<double>")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = {k: Tokens(v) for k, v in sent.value.items()}
+        known = {k: Tokens(v, REMEMBERED // n_lists) for k, v in sent.value.items()}
         for texts, names in batches:
             yield pd.Series([[float(x) for x in features(t, known[k])] for t, k in zip(texts.tolist(), names.tolist())])
 
@@ -206,9 +222,9 @@ def learn(train: DataFrame, parts: int) -> dict[int, dict[str, float]]:
         for batch in batches:
             for text, label, part in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "part"))):
                 seen.setdefault(2 * part + int(label), Counter()).update(stems(text or ""))
-            if sum(map(len, seen.values())) > 600_000:
-                yield out()
-                seen = {}
+                if sum(map(len, seen.values())) > 200_000:
+                    yield out()
+                    seen = {}
         if seen:
             yield out()
 
