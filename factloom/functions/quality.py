@@ -61,7 +61,7 @@ def accepted_subject(subject: Column) -> Column:
     """The subject as it is kept: a few names written in lower case, and e-/i- names, get a capital."""
     s = clean(subject)
     known = one_of(F.lower(s), V.LOWER_CASE_NAMES) | s.rlike("^(?:e-|i-)")
-    return F.when(starts_lower(s) & known, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))).otherwise(s)
+    return F.when(starts_lower(s) & known, F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))).otherwise(s)
 
 
 def rejection_reason(raw: Column, subject: Column, predicate: Column, value: Column, evidence: Column, quality: Column, page: Column) -> Column:

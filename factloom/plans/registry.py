@@ -127,17 +127,18 @@ def ground_fuzzy(spark, sf_dir):
     d = _docs(spark, sf_dir)
     words = F.split(F.trim(F.col("text")), r"\s+")
     quote = F.array_join(F.concat(F.slice(words, 1, 6), F.slice(words, 8, 6)), " ")
-    rows = d.select("doc_id", quote.alias("evidence_quote"), F.substring("text", 1, 4000).alias("page_text"))
+    rows = d.select("doc_id", quote.alias("evidence_quote"), F.col("text").alias("page_text"))
     return grounding.ground(rows).select("doc_id", "grounding_score", "grounding_status")
 
 
 # --- gates and normalisation ----------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, {sql.meaningless('trim(w)')} AS meaningless FROM (SELECT doc_id, substr(text, 1 + CAST(doc_id % 50 AS INTEGER), 3) AS w FROM documents)")
+@query(f"SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: {sql.meaningless('w')})) AS INTEGER) AS meaningless FROM documents")
 def meaningless_number(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.substring("text", (F.lit(1) + F.col("doc_id") % 50).cast("int"), F.lit(3)).alias("w"))
-    return rows.select("doc_id", quality.meaningless_number(F.col("w")).alias("meaningless"))
+    """How many words of each whole text are lone numbers."""
+    words = F.split("text", " ")
+    return _docs(spark, sf_dir).select("doc_id", F.size(F.filter(words, quality.meaningless_number)).alias("meaningless"))
 
 
 @query(sql.FACTS + " SELECT id, quality_score FROM facts")
