@@ -66,7 +66,7 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_facts(raw: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Gates, grounding, confidence and normalisation of raw facts; rejected ones are kept as they came."""
     judged = judge(raw).persist()  # both branches read it
-    accepted = normalize_fact(ground(judged.filter("status = 'ACCEPTED'"), fuzzy))
+    accepted = normalize_fact(ground(judged.filter("status = 'ACCEPTED'"), fuzzy)).drop("matched_snippet")
     accepted = accepted.withColumn("confidence", fact_confidence(F.col("grounding_score"), F.col("quality_score")))
     rejected = judged.filter("status = 'REJECTED'").withColumns(
         {"grounding_status": F.lit("UNVERIFIED"), "grounding_score": F.lit(0.0), "confidence": F.lit(0.1), "normalized_evidence": F.lit(None).cast("string"), "normalized_value": F.lit(None).cast("double"), "normalized_unit": F.lit(None).cast("string")}

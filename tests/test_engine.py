@@ -73,8 +73,15 @@ def test_blocking_loses_no_pair(spark):
     assert got == {(a, b) for a, b in itertools.product(names, names) if score(a, b) >= 0.6}
 
 
-def test_callouts():
-    assert list(callouts("740Mn\nExpress parcels shipped\n₹81,415Mn\n(1)\nRevenue from services\n4\nSome label with many words\nFY24\n12\nFY23 FY24")) == [("740Mn", "Express parcels shipped"), ("₹81,415Mn", "Revenue from services")]
+def test_callouts(spark):
+    def found(text):
+        return [tuple(r) for r in spark.createDataFrame([(text,)], "x string").select(callouts(F.col("x"))).first()[0]]
+
+    text = "740Mn\n  Express parcels shipped\n₹81,415Mn\n\n(1)\n**\nRevenue from services\n4\nSome label with many words\n4\nShort label\nFY24\n12\nFY23 FY24\n,\nOnly commas\n9\nNote\n15%"
+    assert found(text) == [("740Mn", "Express parcels shipped"), ("₹81,415Mn", "Revenue from services"), ("4", "Short label")]
+    assert found("5 days\nRs 500\nRevenue growth") == [("5 days", "Rs 500")]  # a line that was a label is not a value again
+    assert found("Rs 500\nRs 600\nRs 700\nRevenue growth") == [("Rs 500", "Rs 600"), ("Rs 700", "Revenue growth")]
+    assert found("") == [] and found("7%") == []
 
 
 def test_first_wins_and_upsert(spark):

@@ -58,7 +58,44 @@ def test_grounding(spark):
     page = "Intro. Acme reported revenue of ₹2,500 crore in FY2024, up 12 per cent from last year. More text follows here."
     rows = [("Acme reported revenue of Rs. 2,500 crore in FY2024", page), ("Acme reported revenue of 2,500 crore during FY-2024", page), ("The coffee machine has a water tank", page), ("", page), ("x", None)]
     got = [r for r in ground(spark.createDataFrame(rows, "evidence_quote string, page_text string").withColumn("k", F.monotonically_increasing_id())).orderBy("k").collect()]
-    assert got[0].grounding_score == 1.0 and got[0].grounding_status == "VERIFIED"
+    assert got[0].grounding_score == 1.0 and got[0].grounding_status == "VERIFIED" and got[3].matched_snippet is None
     assert got[1].grounding_score >= 0.8 and got[2].grounding_score < 0.6
     assert [r.grounding_status for r in got[3:]] == ["UNVERIFIED", "UNVERIFIED"]
     assert one(spark, [("1",)], fact_confidence(F.lit(1.0), F.lit(0.9))) == [0.955]
+
+
+def test_fuzzy_grounding_against_brute_force(spark):
+    """The ratio over windows equals a search written out in plain Python; so do blend and snippet."""
+    import difflib
+    import random
+    import re
+
+    rng = random.Random(7)
+    vocabulary = "acme revenue crore margin parcels shipped 2,500 fy2024 in of up to a (net) \"ebitda\" growth warehouse 12% ₹350 volume".split()
+    pages = [" ".join(rng.choices(vocabulary, k=n)) for n in (3, 12, 60, 400)]
+    quotes = [" ".join(rng.choices(vocabulary, k=n)) for n in (1, 2, 7, 15)] + ["zebra yak of", "zz yy xx"]
+    rows = [(q, p) for q in quotes for p in pages]
+
+    def best(q, p, most):
+        kept = re.findall(r"[a-z0-9%₹]{2,}", re.sub(r"(\d)\s+%", r"\1%", re.sub(r"₹\s*", "₹", q)))
+        telling = {t for t in kept if len(t) > 3 or re.search(r"\d", t)} or set(kept)
+        words, n = p.split(), len(q.split())
+        places = [k for k, w in enumerate(words) if re.sub(r"^[^\w₹]+|[^\w₹]+$", "", w) in telling] or list(range(0, len(words), max(1, n // 2)))
+        ratios = [(difflib.SequenceMatcher(None, q, x).ratio(), x) for x in (" ".join(words[k : k + int(n * 1.2) + 2]) for k in sorted({max(0, k - int(n * 0.8)) for k in places})[:most])]
+        return next((r for r in ratios if r[0] > 0.95), max(ratios, key=lambda r: r[0]))
+
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, evidence_quote string, page_text string")
+    for most in (15, 2, None):
+        got = {r.k: r for r in ground(df, most=most).collect()}
+        fuzzy = 0
+        for k, (q, p) in enumerate(rows):
+            if got[k].grounding_score == 1.0 and got[k].matched_snippet in (q, None):
+                continue
+            ratio, stretch = best(q, p, most)
+            kept = lambda x: re.findall(r"[a-z0-9%₹]{2,}", re.sub(r"(\d)\s+%", r"\1%", re.sub(r"₹\s*", "₹", x)))
+            share = len(set(kept(q)) & set(kept(p))) / len(set(kept(q)))
+            want = max(ratio, share * 0.95) if share > 0.8 else max(ratio, share * 0.85) if share > 0.6 else ratio * share
+            assert abs(got[k].grounding_score - min(1.0, want)) < 1e-4, (q, p, most)
+            assert got[k].matched_snippet == (stretch if ratio else None)
+            fuzzy += 1
+        assert fuzzy >= 12
