@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise
+from factloom.llm.common import materialise, number_rows
 
 #: Insults, coarse words and threats in the corpus's languages, without words that are plain ones in another.
 INSULTS = """
@@ -279,9 +279,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple
     parts = min(PARTS, sizes.get(0.0, 0), sizes.get(1.0, 0))
     if parts < 2:
         return once, 0
-    place = F.row_number().over(Window.partitionBy("label").orderBy("hash")) - 1  # over the sample's hashes only
-    dealt = once.select("hash", "label", (place % parts).alias("part"))
-    return materialise(once.join(F.broadcast(dealt.select("hash", "part")), "hash"), "parts"), parts
+    # texts of a class follow each other in the numbers, so each class is dealt evenly
+    numbered, _ = number_rows(once.select("hash", "label"), ["label", "hash"], "order", "place")
+    dealt = numbered.select("hash", (F.col("place") % parts).alias("part"))
+    return materialise(once.join(F.broadcast(dealt), "hash"), "parts"), parts
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Scorer:
