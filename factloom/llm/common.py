@@ -19,10 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-factloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-factloom-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
