@@ -24,10 +24,22 @@ def as_side(facts: DataFrame, side: str) -> DataFrame:
 SHORT = 7  # a ratio of 0.80 with a subject of five characters or fewer leaves the other seven at most
 
 
-def blocked(values: DataFrame, left: Column, right: Column) -> DataFrame:
-    """Distinct ordered pairs (a_*, b_*) of rows of which one has a left key among the other's right keys."""
-    keyed = lambda keys, side: as_side(values, side).withColumn("_k", F.explode(F.array_distinct(keys(side))))
-    pairs = keyed(left, "a").join(keyed(right, "b"), "_k").drop("_k").distinct()
+def hold(df: DataFrame, held: list[DataFrame] | None) -> DataFrame:
+    """df, persisted; who passes a list finds it there and can release it when the results are written."""
+    df = df.persist()
+    if held is not None:
+        held.append(df)
+    return df
+
+
+def blocked(values: DataFrame, left: Column, right: Column, new: DataFrame | None = None) -> DataFrame:
+    """Distinct ordered pairs (a_*, b_*) of rows of which one has a left key among the other's right keys.
+
+    With `new`, some of the rows, only pairs that hold one of them.
+    """
+    keyed = lambda rows, keys, side: as_side(rows, side).withColumn("_k", F.explode(F.array_distinct(keys(side))))
+    meet = lambda a, b: keyed(a, left, "a").join(keyed(b, right, "b"), "_k").drop("_k")
+    pairs = (meet(values, values) if new is None else meet(new, values).unionByName(meet(values, new))).distinct()
     swap = {f"{x}_{c}": f"{y}_{c}" for c in values.columns for x, y in (("a", "b"), ("b", "a"))}
     return pairs.unionByName(pairs.select([F.col(c).alias(swap[c]) for c in pairs.columns])).distinct()
 
@@ -55,14 +67,16 @@ def subject_keys(all_runs: bool):
     return keys
 
 
-def similar(values: DataFrame, kind: str, least: float) -> DataFrame:
-    """(a, b, score): the ordered pairs of distinct values of one column that score at least `least`."""
-    names = values.toDF("value").filter("value is not null").distinct()
+def similar(values: DataFrame, kind: str, least: float, new: DataFrame | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """(a, b, score): the ordered pairs of distinct values of one column that score at least `least`; with `new`, some of the
+    values, only pairs that hold one of them."""
+    names = lambda v: v.toDF("value").filter("value is not null").distinct()
+    features, scored_by, left, right = (
+        (predicate_features, predicate_scores, predicate_keys, predicate_keys) if kind == "predicate" else (subject_features, subject_scores, subject_keys(False), subject_keys(True))
+    )
     # what is worked out of each value is kept, so that the plan of the pairs does not repeat it
-    if kind == "predicate":
-        scores = predicate_scores(blocked(predicate_features(names).persist(), predicate_keys, predicate_keys).persist())
-    else:
-        scores = subject_scores(blocked(subject_features(names).persist(), subject_keys(False), subject_keys(True)).persist())
+    own = None if new is None else hold(features(names(new)), held)
+    scores = scored_by(hold(blocked(hold(features(names(values)), held), left, right, own), held))
     return scores.filter(F.col("score") >= least).select(F.col("a_value").alias("a"), F.col("b_value").alias("b"), "score")
 
 
@@ -96,14 +110,22 @@ def scored(pairs: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(facts: DataFrame, least: float = V.LEAST_SCORE) -> DataFrame:
-    """Pairs of facts a < b (by id) of different documents with match_score and match_reason; all columns of both sides."""
-    subjects = similar(facts.select("subject"), "subject", V.LEAST_SUBJECT).toDF("subj_a", "subj_b", "subj_score")
-    predicates = similar(facts.select("predicate"), "predicate", V.LEAST_PREDICATE).toDF("pred_a", "pred_b", "pred_score")
-    a, b = as_side(facts, "a"), as_side(facts, "b")
-    reach = a.join(subjects, F.col("a_subject") == F.col("subj_a")).join(predicates, F.col("a_predicate") == F.col("pred_a"))
+def candidate_pairs(facts: DataFrame, least: float = V.LEAST_SCORE, new: Column | None = None, held: list[DataFrame] | None = None) -> DataFrame:
+    """Pairs of facts a < b (by id) of different documents with match_score and match_reason; all columns of both sides.
+
+    With `new`, a condition on facts, only pairs that hold a fact it is true of: what is stored is not compared again.
+    """
+    fresh = None if new is None else facts.filter(new)
+    of = lambda c: None if fresh is None else fresh.select(c)
+    subjects = similar(facts.select("subject"), "subject", V.LEAST_SUBJECT, of("subject"), held).toDF("subj_a", "subj_b", "subj_score")
+    predicates = similar(facts.select("predicate"), "predicate", V.LEAST_PREDICATE, of("predicate"), held).toDF("pred_a", "pred_b", "pred_score")
     same = (F.col("subj_b") == F.col("b_subject")) & (F.col("pred_b") == F.col("b_predicate")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_document_id") != F.col("b_document_id"))
-    met = reach.join(b, same).drop("subj_a", "subj_b", "pred_a", "pred_b")
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        reach = as_side(a, "a").join(subjects, F.col("a_subject") == F.col("subj_a")).join(predicates, F.col("a_predicate") == F.col("pred_a"))
+        return reach.join(as_side(b, "b"), same).drop("subj_a", "subj_b", "pred_a", "pred_b")
+
+    met = meet(facts, facts) if fresh is None else meet(fresh, facts).unionByName(meet(facts.filter(~F.coalesce(new, F.lit(False))), fresh))
     kinds = F.array("a_fact_type", "b_fact_type")
     apart = F.array_contains(kinds, "financial_metric") & F.array_contains(kinds, "device_specification")
     return scored(met.filter(~F.coalesce(apart, F.lit(False)))).filter(F.col("_total") >= least).drop("_total")

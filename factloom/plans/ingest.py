@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab as V
@@ -11,26 +13,28 @@ from factloom.operators.chunking import chunk_pages
 from factloom.operators.cluster import cluster_members, clusters
 from factloom.operators.extract import extract_facts
 from factloom.operators.match import candidate_pairs, capped
-from factloom.operators.relate import classify
+from factloom.operators.relate import classify, upsert
 from factloom.plans.ledger import build_facts
+from factloom.plans.store import conform
 
 STAGES = [("UPLOADED", 0), ("PARSING", 10), ("EXTRACTING", 30), ("VALIDATING", 45), ("GROUNDING", 60), ("NORMALIZING", 70), ("RELATIONSHIPS", 85), ("COMPLETED", 100)]
 
 
-def facts_of_pages(pages: DataFrame, limit: int = V.CHUNK_WORDS, overlap: int = V.OVERLAP_WORDS, now: str = "2024-01-01T00:00:00+00:00") -> DataFrame:
+def facts_of_pages(pages: DataFrame, limit: int = V.CHUNK_WORDS, overlap: int = V.OVERLAP_WORDS, now: str = "2024-01-01T00:00:00+00:00", held: list[DataFrame] | None = None) -> DataFrame:
     """All facts, accepted and rejected, of pages (document_id, page_number, text)."""
     raw = extract_facts(chunk_pages(pages, limit, overlap))
     texts = pages.select(F.col("document_id").alias("_d"), F.col("page_number").alias("_p"), F.col("text").alias("page_text"))
     paged = raw.join(texts, (F.col("document_id") == F.col("_d")) & (F.col("page_number") == F.col("_p")), "left").drop("_d", "_p").withColumn("page_text", F.coalesce("page_text", F.lit("")))
     key = F.concat_ws("\u0001", "document_id", F.col("page_number").cast("string"), "chunk_id", F.col("ordinal").cast("string"), "subject", "predicate", "value")
-    return build_facts(paged.withColumns({"id": F.sha2(key, 256), "created_at": F.lit(now)})).drop("page_text")
+    return build_facts(paged.withColumns({"id": F.sha2(key, 256), "created_at": F.lit(now)}), held=held).drop("page_text")
 
 
-def knowledge(facts: DataFrame, documents: DataFrame, cap: int | None = None) -> dict[str, DataFrame]:
-    """Clusters, memberships, candidate pairs and relationships of the accepted facts."""
+def knowledge(facts: DataFrame, documents: DataFrame, cap: int | None = None, new: Column | None = None, held: list[DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Clusters, memberships, candidate pairs and relationships of the accepted facts; with `new`, a condition on facts, only the
+    pairs and relationships that hold a fact it is true of."""
     names = documents.select(F.col("id").alias("_d"), "filename")
     own = facts.filter("status = 'ACCEPTED'").join(names, F.col("document_id") == F.col("_d"), "left").drop("_d")
-    pairs = candidate_pairs(own)
+    pairs = candidate_pairs(own, new=new, held=held)
     pairs = pairs if cap is None else capped(pairs, cap)
     related = classify(pairs).filter("type != 'UNRELATED'")
     return {
@@ -47,23 +51,55 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document_id").agg(F.count("*").alias("total_pages"), F.count_if(has).alias("pages_with_text"), F.sum(word_count(F.col("text"))).alias("words"))
 
 
+def run_counts(store, pages: DataFrame) -> DataFrame:
+    """Counters of a run for each document of pages: its pages, chunks, facts, and the pairs and relationships it takes part in."""
+    facts = store.read("facts")
+    home = facts.select(F.col("id").alias("_f"), F.col("document_id").alias("_d"))
+
+    def touched(name: str) -> DataFrame:
+        sides = store.read(name).select("id", F.explode(F.array("fact_a_id", "fact_b_id")).alias("_f"))
+        return sides.join(home, "_f").groupBy("_d").agg(F.count_distinct("id").alias(name))
+
+    of_facts = facts.groupBy(F.col("document_id").alias("_d")).agg(
+        F.count("*").alias("raw_facts"), F.count_if(F.col("status") == "ACCEPTED").alias("accepted_facts"),
+        F.count_if(F.col("status") == "REJECTED").alias("rejected_facts"), F.count_if(F.col("grounding_status") == "VERIFIED").alias("grounded_facts"),
+    )
+    chunks = chunk_pages(pages).groupBy(F.col("document_id").alias("_d")).agg(F.count("*").alias("chunks_created"))
+    counts = page_counts(pages).withColumnRenamed("document_id", "_d")
+    for more in (chunks, of_facts, touched("candidate_pairs"), touched("relationships")):
+        counts = counts.join(more, "_d", "left")
+    return counts.na.fill(0).withColumnRenamed("_d", "document_id")
+
+
 def ingest(store, pages: DataFrame, documents: DataFrame, now: str = "2024-01-01T00:00:00+00:00", cap: int | None = None) -> None:
-    """Write documents, facts and all that follows from them; documents that were there before are processed anew."""
-    spark = store.spark
-    kept = store.read("facts").join(documents.select(F.col("id").alias("_d")), F.col("document_id") == F.col("_d"), "left_anti")
-    fresh = facts_of_pages(pages, now=now)
+    """Write documents, facts and all that follows from them; documents that were there before are processed anew.
+
+    Only the given documents' facts are compared, with each other and with the stored ones; pairs and relationships among other
+    documents stay as they are. Clusters are counted over all facts (one aggregation).
+    """
+    began, held = time.time(), []
+    ids = documents.select(F.col("id").alias("_d"))
+    others = lambda: store.read("facts").join(ids, F.col("document_id") == F.col("_d"), "left_anti")
     done = documents.withColumns({"status": F.lit("COMPLETED"), "progress_pct": F.lit(100), "updated_at": F.lit(now)})
     store.upsert("documents", done, "id")
-    store.overwrite("facts", kept.unionByName(_facts_only(fresh)))
-    for name, df in knowledge(store.read("facts"), store.read("documents"), cap).items():
-        store.overwrite(name, df)
-    runs = page_counts(pages).withColumns({"id": F.concat_ws("#", "document_id", F.lit(now)), "stage": F.lit("COMPLETED"), "created_at": F.lit(now)})
-    counts = store.read("facts").groupBy(F.col("document_id").alias("_d")).agg(F.count("*").alias("raw_facts"), F.count_if(F.col("status") == "ACCEPTED").alias("accepted_facts"), F.count_if(F.col("status") == "REJECTED").alias("rejected_facts"))
-    store.append("diagnostics", runs.join(counts, F.col("document_id") == F.col("_d"), "left"))
-    spark.catalog.clearCache()
-
+    store.overwrite("facts", others().unionByName(conform(facts_of_pages(pages, now=now, held=held), "facts")))
+    facts = store.read("facts")
+    marked = facts.join(ids.distinct().withColumn("_new", F.lit(True)), F.col("document_id") == F.col("_d"), "left").drop("_d")
+    made = knowledge(marked, store.read("documents"), cap, F.col("_new"), held)
+    stay = others().select("id")
 
-def _facts_only(df: DataFrame) -> DataFrame:
-    from factloom.plans.store import conform
+    def stored(name: str) -> DataFrame:
+        """Stored pairs whose facts are both of other documents."""
+        rows = store.read(name)
+        for side in ("fact_a_id", "fact_b_id"):
+            rows = rows.join(stay.withColumnRenamed("id", "_f"), F.col(side) == F.col("_f"), "left_semi")
+        return rows
 
-    return conform(df, "facts")
+    store.overwrite("candidate_pairs", stored("candidate_pairs").unionByName(conform(made["candidate_pairs"], "candidate_pairs")))
+    store.overwrite("relationships", upsert(stored("relationships"), conform(made["relationships"], "relationships")))
+    for name in ("fact_clusters", "cluster_members"):
+        store.overwrite(name, made[name])
+    runs = run_counts(store, pages).withColumns({"id": F.concat_ws("#", "document_id", F.lit(now)), "stage": F.lit("COMPLETED"), "created_at": F.lit(now)})
+    store.append("diagnostics", runs.withColumn("execution_time_ms", F.lit(int((time.time() - began) * 1000))))
+    for df in held:
+        df.unpersist()

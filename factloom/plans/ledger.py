@@ -13,7 +13,7 @@ from factloom.functions.quality import judge
 from factloom.functions.values import normalize_fact
 from factloom.operators.cluster import cluster_members, clusters
 from factloom.operators.ground import fact_confidence, ground
-from factloom.operators.match import candidate_pairs
+from factloom.operators.match import candidate_pairs, hold
 from factloom.operators.relate import classify
 from factloom.session import table
 
@@ -63,9 +63,9 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def build_facts(raw: DataFrame, fuzzy: bool = True) -> DataFrame:
+def build_facts(raw: DataFrame, fuzzy: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
     """Gates, grounding, confidence and normalisation of raw facts; rejected ones are kept as they came."""
-    judged = judge(raw).persist()  # both branches read it
+    judged = hold(judge(raw), held)  # both branches read it
     accepted = normalize_fact(ground(judged.filter("status = 'ACCEPTED'"), fuzzy)).drop("matched_snippet")
     accepted = accepted.withColumn("confidence", fact_confidence(F.col("grounding_score"), F.col("quality_score")))
     rejected = judged.filter("status = 'REJECTED'").withColumns(

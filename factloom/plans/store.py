@@ -1,7 +1,8 @@
 """The data model as Parquet tables: typed empty tables, appends, keyed upserts and deletes with their cascade.
 
-Parquet tables have no row-level changes, so a change rewrites what it touches under a new name and then swaps the table's
-pointer file: a reader sees the old table or the new one, and a failed write leaves the old one.
+Parquet tables have no row-level changes, so a change writes the table as a new numbered version, which counts once Spark has
+put its success mark: a reader sees the old table or the new one, and a failed write leaves the old one. KEPT versions stay, so
+that those who read an older one can finish. There is one writer at a time. Appends add files to the newest version.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from factloom.operators.relate import upsert
 
+KEPT = 3  # versions of a table, the newest among them
+
 SCHEMAS = {
     "documents": "id string, filename string, file_hash string, file_size bigint, page_count int, status string, progress_pct int, progress_message string, error_message string, duplicate_of string, metadata struct<file_size:bigint,total_chars:bigint,pages_with_text:int>, created_at string, updated_at string",
     "pages": "document_id string, page_number int, text string, char_count int, has_text boolean",
@@ -56,13 +59,15 @@ class Store:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self, name: str) -> str | None:
-        """The newest complete version: versions are numbered, and one counts once Spark has put its success mark."""
+    def _versions(self, name: str) -> list[str]:
+        """The complete versions, oldest first."""
         top = self._path(f"{self.folder}/{name}")
         if not self._fs.exists(top):
-            return None
-        found = sorted(s.getPath().toString() for s in self._fs.listStatus(top) if self._fs.exists(self._path(s.getPath().toString() + "/_SUCCESS")))
-        return found[-1] if found else None
+            return []
+        return sorted(s.getPath().toString() for s in self._fs.listStatus(top) if self._fs.exists(self._path(s.getPath().toString() + "/_SUCCESS")))
+
+    def _current(self, name: str) -> str | None:
+        return next(reversed(self._versions(name)), None)
 
     def read(self, name: str) -> DataFrame:
         at = self._current(name)
@@ -72,11 +77,15 @@ class Store:
         old = self._current(name)
         n = int(old.rsplit("/v", 1)[1].split("-")[0]) + 1 if old else 1
         conform(df, name).write.partitionBy(*partition).parquet(f"{self.folder}/{name}/v{n:08d}-{uuid.uuid4().hex[:8]}")
-        if old:
-            self._fs.delete(self._path(old), True)
+        for past in self._versions(name)[:-KEPT]:
+            self._fs.delete(self._path(past), True)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.overwrite(name, self.read(name).unionByName(conform(df, name)))
+        at = self._current(name)
+        if at:
+            conform(df, name).write.mode("append").parquet(at)
+        else:
+            self.overwrite(name, df)
 
     def upsert(self, name: str, df: DataFrame, key: str) -> None:
         """Rows of df take the place of stored rows with the same key."""
