@@ -12,7 +12,7 @@ from factloom.functions.text import word_count
 from factloom.operators.chunking import chunk_pages
 from factloom.operators.cluster import cluster_members, clusters
 from factloom.operators.extract import extract_facts
-from factloom.operators.match import candidate_pairs, capped
+from factloom.operators.match import candidate_pairs, capped, hold
 from factloom.operators.relate import classify, upsert
 from factloom.plans.ledger import build_facts
 from factloom.plans.store import conform
@@ -36,6 +36,7 @@ def knowledge(facts: DataFrame, documents: DataFrame, cap: int | None = None, ne
     own = facts.filter("status = 'ACCEPTED'").join(names, F.col("document_id") == F.col("_d"), "left").drop("_d")
     pairs = candidate_pairs(own, new=new, held=held)
     pairs = pairs if cap is None else capped(pairs, cap)
+    pairs = pairs if held is None else hold(pairs, held)  # two tables are made of them
     related = classify(pairs).filter("type != 'UNRELATED'")
     return {
         "fact_clusters": clusters(own),
