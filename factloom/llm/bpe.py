@@ -38,7 +38,7 @@ HEAD, HEAD_BYTES, SAMPLE = 1_000_000, 48, 20_000
 #: Bytes of text for each block: with it, the words that one task holds at a time are bounded.
 BLOCK_BYTES = 16_000_000
 #: (word, block) pairs that a task holds before it puts them out, and bytes of ids in a batch.
-FLUSH, OUT_BYTES = 500_000, 16_000_000
+FLUSH, OUT_BYTES = 250_000, 4_000_000
 
 _opened: dict = {}
 
@@ -121,18 +121,18 @@ def encode(docs: DataFrame, name: str, text: str = "text", to: str = "ids", keep
 
         def out() -> Iterator[pa.RecordBatch]:
             buckets: dict[int, tuple[list, list]] = {}
-            for word, needed in sorted(wanted.items()):
-                into = buckets.setdefault(crc32(word.encode()) % blocks, ([], []))
-                into[0].extend([word] * len(needed))
-                into[1].extend(sorted(needed))
+            for block, words in sorted(wanted.items()):
+                for word in sorted(words):
+                    into = buckets.setdefault(crc32(word.encode()) % blocks, ([], []))
+                    into[0].append(word)
+                    into[1].append(block)
             for bucket, (words, needed) in buckets.items():
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([pack(word=pa.array(words, pa.string()), block=pa.array(needed, pa.int64()))], pa.binary())], ["bucket", "words"])
 
         for batch in batches:
             for block, value in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
                 fresh = [word for word in set(split(value or "")) if word not in known]
-                for word in fresh:
-                    wanted.setdefault(word, set()).add(block)
+                wanted.setdefault(block, set()).update(fresh)
                 held += len(fresh)
                 if held > FLUSH:
                     yield from out()
@@ -215,10 +215,13 @@ def decode(df: DataFrame, name: str, ids: str = "ids", to: str = "decoded") -> D
 
 def joined(tokens: pa.Array, ids: bytes) -> bytes:
     """The bytes of the ids, one after the other."""
+    if not ids:
+        return b""
     found = tokens.take(pa.array(np.frombuffer(ids, "<u4").astype("i8")))
     if found.null_count:
         raise ValueError("an id that stands for no token")
-    return b"".join(found.to_pylist())
+    _, ends, data = found.buffers()
+    return data[: int(np.frombuffer(ends, "<i4", len(found) + 1)[-1])].to_pybytes()
 
 
 def token_bytes(name: str) -> pa.Array:
