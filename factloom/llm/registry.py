@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
+from factloom.llm.align import op13_token_alignment
 from factloom.llm.ann import op8_one_bit_search
 from factloom.llm.bpe import op11_bpe_round_trip
 from factloom.llm.chat import op10_chat_format
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_bpe_round_trip": op11_bpe_round_trip,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_warc_round_trip": OP5_SQL}
