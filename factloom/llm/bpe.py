@@ -36,9 +36,9 @@ from factloom.llm.common import partitions, row_hash
 
 HEAD, HEAD_BYTES, SAMPLE = 1_000_000, 48, 20_000
 #: Bytes of text for each block: with it, the words that one task holds at a time are bounded.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: (word, block) pairs that a task holds before it puts them out, and bytes of ids in a batch.
-FLUSH, OUT_BYTES = 250_000, 4_000_000
+FLUSH, OUT_BYTES = 100_000, 4_000_000
 
 _opened: dict = {}
 
@@ -189,6 +189,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", to: str = "ids", keep
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column("doc").take(pa.array(rows, pa.int64()))], ["ids", "doc"])
                     ids, rows, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column("doc").take(pa.array(rows, pa.int64()))], ["ids", "doc"])
+            pa.default_memory_pool().release_unused()
 
     # the one column besides `keep` holds its place where nothing is kept
     placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("ids")).alias("doc"), F.col(text).alias("text"), F.pmod(row_hash(docs, 11), F.lit(blocks)).alias("block"))
@@ -209,6 +210,7 @@ def decode(df: DataFrame, name: str, ids: str = "ids", to: str = "decoded") -> D
         tokens = token_bytes(name)
         for batch in batches:
             yield pa.array([joined(tokens, x.as_py()) if x.is_valid else None for x in batch], pa.binary())
+            pa.default_memory_pool().release_unused()
 
     return df.withColumn(to, join(F.col(ids)))
 
