@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,18 @@ class Aligner:
         self.b, self.bytes_b = model(b), piece_bytes(b)
         self.split_a, self.pattern_b = splitter(), boundaries_once(b)
         self.lead = len(self.b.encode("\n"))
+        self.size_a, self.size_b = (np.array([len(x) for x in of], "i8") for of in (self.bytes_a, self.bytes_b))
+        # ids as text, followed by what separates them from the next: one inside a group, or the last of the group's side
+        self.names_a, self.names_b = ([np.array([f"{i}{sign}" for i in range(len(of))], object) for sign in signs] for of, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
         self.alike, self.odd = set(), set()
         self.forget()
 
     def forget(self) -> None:
+        """Start anew: what is known of the segments, by their numbers."""
         self.memo: dict = {}
         self.shown: list[str] = []
-        self.numbers: list[tuple[int, int, int]] = []
-        self.links: list[tuple[int, ...]] = []
+        self.n_a = self.n_b = self.n_links = np.zeros(0, "i8")
+        self.links = np.zeros(0, "i8")
 
     def apart(self, text: str) -> bool:
         """Whether both libraries that split A's pre-tokens class all characters of the text alike, and B keeps them."""
@@ -130,54 +135,70 @@ class Aligner:
             out.append((tuple(words_a[first_a:i]), tuple(words_b[first_b:j])))
         return out
 
-    def learn(self, segments: set) -> None:
-        """Encode and align segments not seen yet."""
+    def learn(self, segments: list) -> None:
+        """Encode and align segments not seen yet, all at once: their tokens stand in one row, and places where both end are looked
+        up there. A segment whose tokens' bytes are not those of the text gets a count of -1."""
         cut = [((s,), (s,)) if isinstance(s, str) else s for s in segments]
         words_a = list({w for a, _ in cut for w in a})
         words_b = list({w for _, b in cut for w in b or ()})
         ids_a = dict(zip(words_a, (x.ids for x in self.a.encode_batch_fast(words_a, add_special_tokens=False))))
         ids_b = dict(zip(words_b, (x[self.lead :] for x in self.b.encode([f"\n{w}" for w in words_b], num_threads=1))))
-        for segment, (a, b) in zip(segments, cut):
-            whole = [i for w in a for i in ids_a[w]]
-            other = [i for w in b for i in ids_b[w]] if b is not None else self.b.encode(a[0][1:], num_threads=1)
-            self.memo[segment] = len(self.shown)
-            self.align("".join(a).encode(), whole, other)
-
-    def align(self, raw: bytes, a: list[int], b: list[int]) -> None:
-        """Groups and links of a segment; numbers of -1 where the tokens' bytes are not those of the text."""
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-            self.shown.append("")
-            self.numbers.append((-1, 0, 0))
-            self.links.append(())
-            return
-        shown, links, i, j, first_a, first_b, ahead = [], [], 0, 0, 0, 0, 0
-        while i < len(a):
-            if ahead <= 0:
-                ahead += len(bytes_a[i])
-                i += 1
-            while ahead > 0:
-                ahead -= len(bytes_b[j])
-                j += 1
-            if not ahead:
-                shown.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                links.append(a[i - 1] << ID_BITS | b[j - 1])
-                first_a, first_b = i, j
-        self.shown.append(";".join(shown))
-        self.numbers.append((len(a), len(b), len(links)))
-        self.links.append(tuple(links))
-
-    def texts(self, texts: list[str | None]) -> list[list[int]]:
-        """For each text the numbers of its segments; none for one that has no tokens."""
+        a = [ids_a[s] if isinstance(s, str) else [i for w in s[0] for i in ids_a[w]] for s in segments]
+        b = [ids_b[s] if isinstance(s, str) else [i for w in s[1] for i in ids_b[w]] if s[1] else self.b.encode(s[0][0][1:], num_threads=1) for s in segments]
+        raw = [s if isinstance(s, str) else "".join(s[0]) for s in segments]
+        joined_a, joined_b = (b"".join([of[i] for ids in all_ for i in ids]) for of, all_ in ((self.bytes_a, a), (self.bytes_b, b)))
+        good = [True] * len(segments)
+        if not joined_a == joined_b == "".join(raw).encode():
+            good = [b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y]) == r.encode() for x, y, r in zip(a, b, raw)]
+            a, b = ([ids for ids, g in zip(all_, good) if g] for all_ in (a, b))
+        shown, n_a, n_b, n_links, links = self.align(a, b)
+        at, marks = np.flatnonzero(good), np.full((3, len(segments)), -1)
+        marks[:, at] = n_a, n_b, n_links
+        for k, segment in enumerate(segments, len(self.shown)):
+            self.memo[segment] = k
+        each = iter(shown)
+        self.shown += [next(each) if g else "" for g in good]
+        self.n_a, self.n_b, self.n_links = (np.concatenate([old, new]) for old, new in zip((self.n_a, self.n_b, self.n_links), marks))
+        self.links = np.concatenate([self.links, links])
+
+    def align(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of segments whose tokens cover the same bytes: the groups as text, the numbers of tokens and links, and all links."""
+        n_a, n_b = (np.fromiter(map(len, x), "i8", len(x)) for x in (a, b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), "i8", int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        at_a, at_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        links = flat_a[at_a] << ID_BITS | flat_b[at_b]
+        of = np.repeat(np.arange(len(a)), n_a)[at_a]
+        # groups one after the other, each A's tokens and then B's
+        before_b = np.concatenate([[0], at_b + 1])[np.cumsum(last_a) - last_a]
+        upto_a = (at_a + 1)[np.cumsum(last_b) - last_b]
+        signs = np.empty(len(flat_a) + len(flat_b), object)
+        signs[np.arange(len(flat_a)) + before_b] = np.where(last_a, self.names_a[1][flat_a], self.names_a[0][flat_a])
+        signs[np.arange(len(flat_b)) + upto_a] = np.where(last_b, self.names_b[1][flat_b], self.names_b[0][flat_b])
+        signs, ends = signs.tolist(), np.cumsum(n_a + n_b).tolist()
+        return ["".join(signs[i:j]) for i, j in zip([0, *ends], ends)], n_a, n_b, np.bincount(of, minlength=len(a)), links
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its groups, and its numbers of A's and B's tokens and of links; and all links, text by text."""
         cut = [self.segments(text) if text else [] for text in texts]
         fresh = {s for segments in cut for s in segments if s not in self.memo}
         if len(self.memo) + len(fresh) > MEMO:
             self.forget()
             fresh = {s for segments in cut for s in segments}
-        self.learn(fresh)
-        memo, numbers = self.memo, self.numbers
+        self.learn(list(fresh))
+        memo, shown = self.memo, self.shown
         found = [[memo[s] for s in segments] for segments in cut]
-        return [[] if any(numbers[k][0] < 0 for k in set(ks)) else ks for ks in found]
+        if (self.n_a < 0).any():
+            bad = set(np.flatnonzero(self.n_a < 0).tolist())
+            found = [[] if not bad.isdisjoint(ks) else ks for ks in found]
+        sizes = np.fromiter(map(len, found), "i8", len(found))
+        flat, of = np.fromiter(chain.from_iterable(found), "i8", int(sizes.sum())), np.repeat(np.arange(len(found)), sizes)
+        numbers = np.stack([np.bincount(of, n[flat], len(found)) for n in (self.n_a, self.n_b, self.n_links)]).astype("i8")
+        n = np.maximum(self.n_links, 0)
+        starts, n = (np.cumsum(n) - n)[flat], n[flat]
+        links = self.links[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return ["".join([shown[k] for k in ks])[:-1] for ks in found], numbers, links, np.repeat(of, n)
 
 
 def planes(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
@@ -243,16 +264,12 @@ def encode_pairs(docs: DataFrame, a: str, b: str, text: str, keep: list[str]) ->
                     keys, held = [], 0
                     if place + n > BLOCK:
                         block, place = block + 1, 0
-                found = aligner.texts(batch.column("text").to_pylist())
-                numbers = np.array([np.sum([aligner.numbers[k] for k in ks], axis=0) if ks else (0, 0, 0) for ks in found], "i8").reshape(n, 3)
-                for at, ks in enumerate(found):
-                    links = np.fromiter((x for k in ks for x in aligner.links[k]), "i8")
-                    keys.append(links << PLACE_BITS | (place + at))
-                held += int(numbers[:, 2].sum())
-                shown = [";".join([aligner.shown[k] for k in ks]) for ks in found]
+                shown, numbers, links, of = aligner.texts(batch.column("text").to_pylist())
+                keys.append(links << PLACE_BITS | (of + place))
+                held += len(links)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * n, pa.int64()), pa.array(range(place, place + n), pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-                     *[pa.array(numbers[:, k]) for k in range(3)], pa.array(shown, pa.string()), batch.column("doc")], fields)
+                     *[pa.array(numbers[k]) for k in range(3)], pa.array(shown, pa.string()), batch.column("doc")], fields)
                 place += n
         if doc_type is not None:
             yield from out()
