@@ -8,7 +8,7 @@ order. Each distinct word is encoded once:
    whatever the corpus: it is what keeps words that stand in a third of all texts out of the shuffle. It only decides where a
    word is looked up; no id depends on it.
 2. Every row belongs to a block of about BLOCK_BYTES of text, by a hash of the row. All other words are exploded as (word, block),
-   each once, and brought together by word; there each distinct one is encoded, and its ids go to the blocks that hold it.
+   each once, and brought together by word; there each distinct one is encoded, and its ids (which say what the word is) go to the blocks that hold it.
 3. The texts, compressed, meet the ids of their blocks' words, and the ids are put together by the positions of the words.
 
 Ids travel and are returned as packed little-endian unsigned 32-bit integers, the form in which token files are written.
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", to: str = "ids", keep
             starts = np.flatnonzero(np.diff(pairs[0], prepend=-1))
             for a, b in zip(starts, [*starts[1:], pairs.shape[1]]):
                 at = pa.array(pairs[1, a:b])
-                payload = pack(word=coded.dictionary.take(at), ids=ids.take(at))
+                payload = pack(ids=ids.take(at))
                 yield pa.RecordBatch.from_arrays([pa.array([pairs[0, a]], pa.int64()), pa.array([payload], pa.binary())], ["block", "payload"])
 
         last, parts = None, []
@@ -171,15 +171,15 @@ def encode(docs: DataFrame, name: str, text: str = "text", to: str = "ids", keep
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, the block's words before its texts."""
-        split, known, rest, last = splitter(), head.value, {}, None
+        split, known, tokens, rest, last = splitter(), head.value, token_bytes(name), {}, None
         for batch in batches:
             ids, rows, held = [], [], 0
             for i, (block, payload, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "size")))):
                 if block != last:
                     rest, last = {}, block
                 if size is None:
-                    table = unpack(payload)
-                    rest.update(zip(table["word"].to_pylist(), table["ids"].to_pylist()))
+                    ids_of = unpack(payload)["ids"].combine_chunks()
+                    rest.update(zip(words_of(tokens, ids_of), ids_of.to_pylist()))
                     continue
                 words = split(pa.decompress(payload, size, "zstd", asbytes=True).decode()) if size else ()
                 ids.append(b"".join([known[word] if word in known else rest[word] for word in words]))
@@ -226,6 +226,15 @@ def joined(tokens: pa.Array, ids: bytes) -> bytes:
     return data[: int(np.frombuffer(ends, "<i4", len(found) + 1)[-1])].to_pybytes()
 
 
+def words_of(tokens: pa.Array, ids: pa.Array) -> list[str]:
+    """The words that packed ids stand for: a word is what its ids decode to, so that it need not travel with them."""
+    flat = pa.array(np.frombuffer(b"".join(ids.to_pylist()), "<u4").astype("i8"))
+    _, ends, data = tokens.take(flat).buffers()
+    sizes = np.fromiter((len(x) // 4 for x in ids.to_pylist()), "i8", len(ids))
+    upto = np.frombuffer(ends, "<i4", len(flat) + 1)[np.cumsum([0, *sizes])]
+    return pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(upto.astype("<i4").tobytes()), data]).to_pylist()
+
+
 def token_bytes(name: str) -> pa.Array:
     """The token-byte table: the bytes of each id, in order of the ids."""
     if ("bytes", name) not in _opened:
