@@ -1,11 +1,20 @@
 """Candidate pairs: facts of different documents about the same subject and a comparable metric.
 
-Similarity is worked out once for distinct subjects and distinct predicates, not for pairs of facts. Values that can be
-similar share a blocking key, so no pair is lost: predicates that score 0.65 share a family or a core token; subjects that
-score 0.60 are equal, share a core token, contain one another or have a string ratio of 0.80. In the last two cases they
-share a run of three characters, or of two if the shorter has at most five: with n characters, 0.2 n gaps part 0.8 n matching
-ones, so some run is longer than 2 if n > 5. Runs of two are keys of all subjects on one side only and of short ones on the
-other, so that long subjects do not all meet. Facts are then joined to the similar subjects and predicates by equality.
+Similarity is worked out once for distinct subjects and distinct predicates, not for pairs of facts, by a prefix-filtered
+set-similarity join; facts are then joined to the similar subjects and predicates by equality. No pair is lost:
+
+* Subjects are similar if they share 0.6 of the larger one's core tokens. Of n tokens, ceil(0.6 n) must then be shared, so one of
+  the n - ceil(0.6 n) + 1 rarest is: only those are keys, on both sides.
+* Without a shared token, one contains the other or the string ratio is 0.8. A ratio of 0.8 means M >= 0.4 S matching characters of
+  S, in at most S - 2M + 1 runs, so at least 0.2 S - 1 pairs of neighbouring characters are shared; with S >= 5/3 n that is n / 3 - 1.
+  Keys are the rarest pairs of one side that must hold one of these (for containment, the rarest is enough), against all pairs of the
+  other. Lengths 2 and 3 may share no pair (`ab`, `axb`): such subjects meet by single characters.
+* Predicates are similar if their families are equal, or else by tokens or, with any token shared, a string ratio of 0.65: there all
+  tokens are keys, with a class of the joined tokens' length, which the ratio bounds by (2 - 0.65) / 0.65 on either side.
+
+Keys that many values share are split: with more than CELL values on a side, both sides are dealt into cells of about CELL values, and
+each pair of cells is a join key of its own, so no key brings a task more than about CELL ** 2 candidates. What can be decided from
+lengths, letters and sets is, as expressions; the string ratio itself is Python, on rows that nothing else decides.
 """
 
 from __future__ import annotations
@@ -14,16 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab as V
-from factloom.functions.metrics import predicate_features, predicate_scores, subject_features, subject_scores
+from factloom.functions.metrics import predicate_features, predicate_possible, predicate_scores, subject_features, subject_possible, subject_scores
+from factloom.session import cut
 
 
 def as_side(facts: DataFrame, side: str) -> DataFrame:
     return facts.select([F.col(f"`{c}`").alias(f"{side}_{c}") for c in facts.columns])
 
 
-SHORT = 7  # a ratio of 0.80 with a subject of five characters or fewer leaves the other seven at most
-
-
 def hold(df: DataFrame, held: list[DataFrame] | None) -> DataFrame:
     """df, persisted; who passes a list finds it there and can release it when the results are written."""
     df = df.persist()
@@ -32,52 +39,84 @@ def hold(df: DataFrame, held: list[DataFrame] | None) -> DataFrame:
     return df
 
 
-def blocked(values: DataFrame, left: Column, right: Column, new: DataFrame | None = None) -> DataFrame:
-    """Distinct ordered pairs (a_*, b_*) of rows of which one has a left key among the other's right keys.
+#: Values of a key on one side that a task compares with as many of the other.
+CELL = 2000
+#: Lengths whose joined tokens can have the least ratio differ by at most one class.
+LENGTH_STEP = (2 - V.LEAST_PREDICATE) / V.LEAST_PREDICATE
 
-    With `new`, some of the rows, only pairs that hold one of them.
-    """
-    keyed = lambda rows, keys, side: as_side(rows, side).withColumn("_k", F.explode(F.array_distinct(keys(side))))
-    meet = lambda a, b: keyed(a, left, "a").join(keyed(b, right, "b"), "_k").drop("_k")
-    pairs = (meet(values, values) if new is None else meet(new, values).unionByName(meet(values, new))).distinct()
-    swap = {f"{x}_{c}": f"{y}_{c}" for c in values.columns for x, y in (("a", "b"), ("b", "a"))}
-    return pairs.unionByName(pairs.select([F.col(c).alias(swap[c]) for c in pairs.columns])).distinct()
+
+def predicate_keys(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of each side, one a row, with the predicate's features."""
+    step = F.floor(F.log(F.greatest(F.length("joined"), F.lit(1))) / F.log(F.lit(LENGTH_STEP)))
+    family = F.when(F.col("family").isNotNull(), F.array(F.concat(F.lit("F:"), "family"))).otherwise(F.array().cast("array<string>"))
+    keys = lambda *moves: F.concat(family, *[F.transform("tokens", lambda t: F.concat(F.lit("T:"), t, F.lit(":"), (step + m).cast("string"))) for m in moves])
+    return tuple(features.withColumn("_k", F.explode(F.array_distinct(k))) for k in (keys(0), keys(-1, 0, 1)))
 
 
-def predicate_keys(side: str) -> Column:
-    family = F.when(F.col(f"{side}_family").isNotNull(), F.array(F.concat(F.lit("F:"), f"{side}_family"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(family, F.transform(f"{side}_tokens", lambda t: F.concat(F.lit("T:"), t)))
+def runs(text: Column, n: int) -> Column:
+    """All runs of n characters."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat(F.lit(f"{n}:"), F.substring(text, i, F.lit(n))))
 
 
-def subject_keys(all_runs: bool):
-    """The whole subject, core tokens, runs of three characters, and runs of two: all of them, or those of short subjects."""
+def subject_keys(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of each side, one a row, with the subject's features. The left side has the rarest runs, the right side all."""
+    low, n = F.col("low"), F.length("low")
+    some = F.size("tokens") > 0  # a subject without core tokens can only equal another
+    none = F.array().cast("array<string>")
+    two = F.when(some, runs(low, 2)).otherwise(none)
+    one = F.when(some & (n <= 3), runs(low, 1)).otherwise(none)
+    signs = features.select("value", F.explode(F.concat(F.transform("tokens", lambda t: F.concat(F.lit("T:"), t)), two)).alias("_k"))
+    counted = signs.join(signs.groupBy("_k").agg(F.count("*").alias("_n")), "_k")
+    ordered = counted.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("_n", "_k"))).alias("_o"))
+    own = lambda kind: F.transform(F.filter("_o", lambda x: x["_k"].startswith(kind)), lambda x: x["_k"])
+    rows = features.join(ordered, "value", "left")
+    rarest_tokens = F.slice(own("T:"), 1, F.size("tokens") - F.ceil(F.size("tokens") * V.LEAST_SUBJECT).cast("int") + 1)
+    rarest_runs = F.slice(own("2:"), 1, F.greatest(F.lit(1), n - F.greatest(F.lit(1), F.ceil(n / 3).cast("int") - 1)))
+    equal = F.array(F.concat(F.lit("E:"), low))
+    keys = lambda near: F.array_distinct(F.concat(equal, F.when(some, F.concat(rarest_tokens, near, one)).otherwise(none)))
+    return tuple(rows.withColumn("_k", F.explode(keys(near))).drop("_o") for near in (rarest_runs, two))
 
-    def keys(side: str) -> Column:
-        low, tokens, none = F.col(f"{side}_low"), F.col(f"{side}_tokens"), F.array().cast("array<string>")
 
-        def runs(n: int) -> Column:
-            starts = F.when(F.length(low) >= n, F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (n - 1)))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.concat(F.lit(f"{n}:"), F.substring(low, i, F.lit(n))))
+def in_cells(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keyed rows as sides a_* and b_*, to be joined on _k, _ca and _cb: the rows of a key of many values are dealt into cells, and
+    given once for each cell of the other side."""
+    count = lambda rows, to: rows.groupBy("_k").agg(F.ceil(F.count("*") / CELL).cast("int").alias(to))
+    # a row for each key of more than CELL values: a CELL-th of the keyed rows at most
+    cells = count(a, "_ca").join(count(b, "_cb"), "_k").filter("_ca > 1 or _cb > 1")
 
-        two = runs(2) if all_runs else F.when(F.length(low) <= SHORT, runs(2)).otherwise(none)
-        # a subject without core tokens can only equal another
-        near = F.when(F.size(tokens) > 0, F.concat(runs(3), two)).otherwise(none)
-        return F.concat(F.array(F.concat(F.lit("E:"), low)), F.transform(tokens, lambda t: F.concat(F.lit("T:"), t)), near)
+    def dealt(rows: DataFrame, side: str, own: str, other: str) -> DataFrame:
+        rows = as_side(rows, side).withColumnRenamed(f"{side}__k", "_k").join(cells, "_k", "left")
+        at = F.pmod(F.xxhash64(f"{side}_value"), F.coalesce(own, F.lit(1))).cast("int")
+        return rows.withColumns({own: at, other: F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))})
 
-    return keys
+    return dealt(a, "a", "_ca", "_cb"), dealt(b, "b", "_cb", "_ca")
+
+
+def meet(a: DataFrame, b: DataFrame, possible: Column) -> DataFrame:
+    """Distinct pairs (a_*, b_*) of keyed rows that share a key and are possible."""
+    one, other = in_cells(a, b)
+    return one.join(other, ["_k", "_ca", "_cb"]).filter(possible).drop("_k", "_ca", "_cb").dropDuplicates(["a_value", "b_value"])
 
 
 def similar(values: DataFrame, kind: str, least: float, new: DataFrame | None = None, held: list[DataFrame] | None = None) -> DataFrame:
     """(a, b, score): the ordered pairs of distinct values of one column that score at least `least`; with `new`, some of the
-    values, only pairs that hold one of them."""
+    values, only pairs that hold one of them. Keys suit the thresholds of the rules or higher ones."""
     names = lambda v: v.toDF("value").filter("value is not null").distinct()
-    features, scored_by, left, right = (
-        (predicate_features, predicate_scores, predicate_keys, predicate_keys) if kind == "predicate" else (subject_features, subject_scores, subject_keys(False), subject_keys(True))
-    )
-    # what is worked out of each value is kept, so that the plan of the pairs does not repeat it
-    own = None if new is None else hold(features(names(new)), held)
-    scores = scored_by(hold(blocked(hold(features(names(values)), held), left, right, own), held))
-    return scores.filter(F.col("score") >= least).select(F.col("a_value").alias("a"), F.col("b_value").alias("b"), "score")
+    features, scores_of, keys, possible = (predicate_features, predicate_scores, predicate_keys, predicate_possible) if kind == "predicate" else (subject_features, subject_scores, subject_keys, subject_possible)
+    # what is worked out of the values is written, so that the plan of the pairs does not repeat it
+    rows = features(names(values))
+    if new is not None:
+        rows = rows.join(names(new).withColumn("fresh", F.lit(True)), "value", "left")
+    left, right = (hold(k, held) for k in keys(cut(rows)))
+    wanted = possible(least)
+    if new is not None:
+        wanted = wanted & (F.coalesce("a_fresh", F.lit(False)) | F.coalesce("b_fresh", F.lit(False)))
+    met = cut(meet(left, right, wanted))
+    swap = {f"{x}_{c}": f"{y}_{c}" for c in left.columns if c != "_k" for x, y in (("a", "b"), ("b", "a"))}
+    # the string ratio may depend on the order of its arguments
+    both = met.unionByName(met.select([F.col(c).alias(swap[c]) for c in met.columns])).dropDuplicates(["a_value", "b_value"])
+    return scores_of(both).filter(F.col("score") >= least).select(F.col("a_value").alias("a"), F.col("b_value").alias("b"), "score")
 
 
 def period_score(a: Column, b: Column) -> Column:

@@ -43,3 +43,15 @@ def ship(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, as Spark's Parquet reader sees it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder in spark.checkpoint.dir: its plan ends there, and a lost executor costs no recomputation.
+    Only in local mode, where that may be unset, a folder of our own serves."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-factloom-"))
+    return df.checkpoint()

@@ -1,10 +1,17 @@
 """From pages to relationships, with the results worked out by hand from the rules."""
 
+import difflib
+import functools
 import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import vocab as V
+from factloom.functions.metrics import predicate_features
+from factloom.operators import match
 from factloom.operators.extract import callouts, first_wins
 from factloom.operators.match import similar
 from factloom.operators.relate import upsert
@@ -48,29 +55,84 @@ def test_relationships(spark, facts):
     assert 0.8 < got[(frozenset(("d1", "d2")), "CORROBORATE")] <= 0.98
 
 
-def test_blocking_loses_no_pair(spark):
-    """Blocked similarity equals the comparison of all pairs."""
-    import difflib
-
-    names = ["Acme Logistics", "Acme Logistics Ltd", "Acmee", "Acme", "Delhivery", "Delhivery Limited", "hp", "hpq corp", "Infosys", "Infosis", "The Group", "Tata Motors", "x"]
-    got = {(r.a, r.b) for r in similar(spark.createDataFrame([(n,) for n in names], "subject string"), "subject", 0.6).collect()}
-    stop = set("the a an ltd limited inc corp corporation company group holdings technologies services our your its".split())
+STOP = set("the a an ltd limited inc corp corporation company group holdings technologies services our your its".split())
+
+
+@functools.cache
+def plain_features(name):
+    low = name.lower().strip()
+    return low, {w for w in re.findall(r"\b[a-z]{2,}\b", low)} - STOP
+
+
+def plain_subject_score(a, b):
+    (a, ta), (b, tb) = plain_features(a), plain_features(b)
+    if a == b:
+        return 1.0
+    if not ta or not tb:
+        return 0.0
+    if not ta.isdisjoint(tb):
+        return len(ta & tb) / max(len(ta), len(tb))
+    if a in b or b in a:
+        return 0.85
+    if 2 * min(len(a), len(b)) < 0.8 * (len(a) + len(b)):
+        return 0.0
+    m = difflib.SequenceMatcher(None, a, b)
+    return r if m.quick_ratio() >= 0.8 and (r := m.ratio()) >= 0.8 else 0.0
+
+
+def varied_names(n, seed):
+    """Names of which a third holds one word, with near copies, short ones and odd ones."""
+    rng, words = random.Random(seed), ["acme", "global", "delta", "north", "solar", "metro", "nova", "prime", "orbit", "vertex", "zen", "hp", "ab"]
+    word = lambda: rng.choice(words) if rng.random() < 0.5 else "".join(rng.choices("abcdeilnorst", k=rng.randint(2, 9)))
+    out = {"ab", "axb", "abc", "b", "The Group", "é ab", "", "Ab-Cd", "abcabcabcabc", "x y"}
+    while len(out) < n:
+        name = " ".join([*["Acme"] * (rng.random() < 0.33), *(word() for _ in range(rng.randint(1, 4))), *["Ltd"] * (rng.random() < 0.2)])
+        out.add(name.title() if rng.random() < 0.7 else name)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(name) + 1)
+            out.add(name[:at] + rng.choice(["x", "q ", "", "-"]) + name[at + rng.randint(0, 1) :])
+    return sorted(out)[:n]
+
+
+@pytest.mark.parametrize("cell", [50, 2000])
+def test_blocking_loses_no_pair(spark, monkeypatch, cell):
+    """The join's similarity equals the comparison of all pairs, with keys split or whole."""
+    monkeypatch.setattr(match, "CELL", cell)
+    names = ["Acme Logistics", "Acme Logistics Ltd", "Acmee", "Acme", "Delhivery", "Delhivery Limited", "hp", "hpq corp", "Infosys", "Infosis", "The Group", "Tata Motors", "x", *varied_names(2000 if cell == 2000 else 300, 5)]
+    got = {(r.a, r.b): r.score for r in similar(spark.createDataFrame([(n,) for n in [*names, None]], "subject string"), "subject", 0.6).collect()}
+    want = {(a, b): s for a, b in itertools.product(set(names), repeat=2) if (s := plain_subject_score(a, b)) >= 0.6}
+    assert got == want and len(want) > len(names)
+
+
+def test_predicates_lose_no_pair(spark):
+    rng, words = random.Random(4), ["total", "revenue", "net", "profit", "growth", "tank", "capacity", "pressure", "deficit", "parcel", "volume", "tax", "margin", "loss", "waters", "water", "revenues"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(350)} | {" ".join(["total", *("".join(rng.choices("aeinrst", k=rng.randint(2, 12))) for _ in range(rng.randint(1, 3)))]) for _ in range(250)} | {"", "x", "5 %"})
+    frame = spark.createDataFrame([(n,) for n in names], "predicate string")
+    got = {(r.a, r.b): r.score for r in similar(frame, "predicate", 0.65).collect()}
+    features = [r for r in predicate_features(frame.toDF("value")).collect()]
+
+    def conflict(a, b):
+        return any((set(a) & set(x) and set(b) & set(y)) or (set(a) & set(y) and set(b) & set(x)) for x, y in V.MODIFIER_CONFLICTS)
 
     def score(a, b):
-        import re
-
-        a, b = a.lower().strip(), b.lower().strip()
-        ta, tb = ({w for w in re.findall(r"\b[a-z]{2,}\b", x)} - stop for x in (a, b))
-        if a == b:
-            return 1.0
-        if not ta or not tb:
-            return 0.0
-        if ta & tb:
-            return len(ta & tb) / max(len(ta), len(tb))
-        r = difflib.SequenceMatcher(None, a, b).ratio()
-        return 0.85 if a in b or b in a else r if r >= 0.8 else 0.0
-
-    assert got == {(a, b) for a, b in itertools.product(names, names) if score(a, b) >= 0.6}
+        if a.family and b.family:
+            return float(a.family == b.family and not conflict(a.tokens, b.tokens))
+        shared = set(a.tokens) & set(b.tokens)
+        jaccard = len(shared) / len(set(a.tokens) | set(b.tokens)) if shared else 0.0
+        return max(jaccard, difflib.SequenceMatcher(None, " ".join(sorted(a.tokens)), " ".join(sorted(b.tokens))).ratio()) if 0 < jaccard < 1 else jaccard
+
+    want = {(a.value, b.value): s for a, b in itertools.product(features, repeat=2) if (s := score(a, b)) >= 0.65}
+    assert got == want and len(want) > len(names)
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """Where a word stands in a third of all names, no pair of cells has many more than CELL ** 2 candidates."""
+    monkeypatch.setattr(match, "CELL", 100)
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("value"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("_k"))
+    assert match.meet(rows, rows, F.col("a_value") != F.col("b_value")).count() == 1000 * 999
+    for side in match.in_cells(rows, rows):
+        sizes = [r["count"] for r in side.filter("_k = 'hot'").groupBy("_ca", "_cb").count().collect()]
+        assert len(sizes) == 100 and max(sizes) <= 2 * 100 and sum(sizes) == 1000 * 10
 
 
 def test_callouts(spark):
