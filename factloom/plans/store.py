@@ -1,20 +1,29 @@
-"""The data model as Parquet tables: typed empty tables, appends, keyed upserts and deletes with their cascade.
-
-Parquet tables have no row-level changes, so a change writes the table as a new numbered version, which counts once Spark has
-put its success mark: a reader sees the old table or the new one, and a failed write leaves the old one. KEPT versions stay, so
-that those who read an older one can finish. There is one writer at a time. Appends add files to the newest version.
+"""The data model as Parquet tables: typed empty tables, keyed replacement, deletes with their cascade, all or nothing.
+
+Rows lie in buckets by a hash of their owner (the document that brought them; for clusters the cluster), each bucket in a folder
+of its own. A change writes new folders for the buckets it touches and nothing else; other buckets stay as they are. What a table
+consists of is told by a snapshot, a small file that names the folder of each table's buckets and the stream batches worked in.
+A change of several tables counts once its snapshot is put by one rename: readers open tables through the newest snapshot, so
+they see all of it or nothing, and a change that breaks off leaves only folders that no snapshot names, which the next one
+removes. KEPT snapshots stay, so that those who read an older one can finish. There is one writer at a time; a second one's
+rename finds the number taken and fails.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.relate import upsert
+from factloom.operators.cluster import clusters, keyed
+from factloom.session import cut
 
-KEPT = 3  # versions of a table, the newest among them
+KEPT = 3  # snapshots, the newest among them
+BUCKETS = 64  # of each table of a new store; a store keeps its own number
 
 SCHEMAS = {
     "documents": "id string, filename string, file_hash string, file_size bigint, page_count int, status string, progress_pct int, progress_message string, error_message string, duplicate_of string, metadata struct<file_size:bigint,total_chars:bigint,pages_with_text:int>, created_at string, updated_at string",
@@ -33,9 +42,9 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """df with exactly the table's columns; those it lacks are null."""
-    want = [c.split(" ", 1) for c in _split(SCHEMAS[name])]
+def conform(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """df with exactly the table's columns, and those in `more`; those it lacks are null."""
+    want = [c.split(" ", 1) for c in [*_split(SCHEMAS[name]), *more]]
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in want])
 
 
@@ -50,72 +59,158 @@ def _split(schema: str) -> list[str]:
     return [x.strip() for x in out]
 
 
+class Tables:
+    """The tables as one snapshot names them."""
+
+    def __init__(self, spark: SparkSession, state: dict):
+        self.spark, self.state = spark, state
+
+    def read(self, name: str) -> DataFrame:
+        return self._stored(name).drop("_bucket")
+
+    def _stored(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of the table, or of some of its buckets, with the bucket."""
+        held = self.state["tables"].get(name, {})
+        paths = [path for bucket, path in sorted(held.items()) if buckets is None or int(bucket) in buckets]
+        if not paths:
+            return empty(self.spark, name).withColumn("_bucket", F.lit(0))
+        return self.spark.read.schema(f"{SCHEMAS[name]}, _bucket int").parquet(*paths)
+
+
+class Change(Tables):
+    """Tables with what one change has written to them so far."""
+
+    def __init__(self, store: Store, state: dict):
+        super().__init__(store.spark, state)
+        self.store = store
+
+    def replace(self, name: str, fresh: DataFrame, owner: str | Column, gone: DataFrame | None = None, on: tuple[str, ...] = ("id",)) -> None:
+        """Put in the rows of `fresh` and take out the stored rows of which one of the columns `on` is in `gone` (one column).
+        Only buckets that hold either are written."""
+        count = self.state["buckets"]
+        fresh = fresh.withColumn("_bucket", F.pmod(F.xxhash64(F.col(owner) if isinstance(owner, str) else owner), F.lit(count)).cast("int"))
+        fresh = cut(conform(fresh, name, "_bucket int"))
+        touched = fresh.select("_bucket")
+        if gone is not None:
+            gone = gone.toDF("_gone").distinct()
+            for c in on:
+                touched = touched.unionByName(self._stored(name).join(gone, F.col(c) == F.col("_gone"), "left_semi").select("_bucket"))
+        touched = sorted(r[0] for r in touched.distinct().collect())  # as many as there are buckets at most
+        if not touched:
+            return
+        stay = self._stored(name, touched)
+        for c in on if gone is not None else ():
+            stay = stay.join(gone, F.col(c) == F.col("_gone"), "left_anti")
+        folder = f"{self.store.folder}/{name}/{uuid.uuid4().hex}"
+        rows = stay.unionByName(fresh).withColumn("bucket", F.col("_bucket")).hint("rebalance", "bucket")
+        rows.write.partitionBy("bucket").parquet(folder)
+        held = dict(self.state["tables"].get(name, {}))
+        for bucket in touched:
+            held.pop(str(bucket), None)
+        self.state["tables"][name] = held | {at.rsplit("=", 1)[1]: at for at in self.store.listed(folder) if "/bucket=" in at}
+
+    def recount(self, cluster_ids: DataFrame) -> None:
+        """Count the clusters of the given ids (cluster_id) anew from the facts; those without facts go."""
+        rows = keyed(self.read("facts").filter("status = 'ACCEPTED'")).join(cluster_ids.distinct(), "cluster_id", "left_semi")
+        self.replace("fact_clusters", clusters(rows), "id", cluster_ids)
+
+
 class Store:
     """Named tables under one folder (any file system that Spark reaches)."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self._jvm = spark.sparkContext._jvm
+        self._path = lambda p: self._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[str]:
-        """The complete versions, oldest first."""
-        top = self._path(f"{self.folder}/{name}")
-        if not self._fs.exists(top):
-            return []
-        return sorted(s.getPath().toString() for s in self._fs.listStatus(top) if self._fs.exists(self._path(s.getPath().toString() + "/_SUCCESS")))
+    def listed(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(s.getPath().toString() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
-    def _current(self, name: str) -> str | None:
-        return next(reversed(self._versions(name)), None)
+    def snapshots(self) -> list[str]:
+        """Paths of the snapshots, oldest first."""
+        return [p for p in self.listed(f"{self.folder}/_snapshots") if p.endswith(".json")]
 
-    def read(self, name: str) -> DataFrame:
-        at = self._current(name)
-        return self.spark.read.parquet(at) if at else empty(self.spark, name)
-
-    def overwrite(self, name: str, df: DataFrame, *partition: str) -> None:
-        old = self._current(name)
-        n = int(old.rsplit("/v", 1)[1].split("-")[0]) + 1 if old else 1
-        conform(df, name).write.partitionBy(*partition).parquet(f"{self.folder}/{name}/v{n:08d}-{uuid.uuid4().hex[:8]}")
-        for past in self._versions(name)[:-KEPT]:
-            self._fs.delete(self._path(past), True)
-
-    def append(self, name: str, df: DataFrame) -> None:
-        at = self._current(name)
-        if at:
-            conform(df, name).write.mode("append").parquet(at)
-        else:
-            self.overwrite(name, df)
+    def state(self) -> dict:
+        """What the newest snapshot says."""
+        found = self.snapshots()
+        return self._load(found[-1]) if found else {"number": 0, "buckets": self.buckets, "tables": {}, "batches": {}}
+
+    def _load(self, path: str) -> dict:
+        stream = self._fs.open(self._path(path))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def upsert(self, name: str, df: DataFrame, key: str) -> None:
-        """Rows of df take the place of stored rows with the same key."""
-        self.overwrite(name, upsert(self.read(name), conform(df, name), key))
+    def read(self, name: str) -> DataFrame:
+        return self.now().read(name)
+
+    def now(self) -> Tables:
+        """All tables as they are now, whatever is written later (for as long as the snapshot is kept)."""
+        return Tables(self.spark, self.state())
+
+    @contextmanager
+    def change(self, batch: tuple[str, int] | None = None) -> Iterator[Change]:
+        """A change of any tables, committed at the end of the block, or not at all if it fails. `batch` is noted in the same commit
+        as worked in: (query, number)."""
+        change = Change(self, self.state())
+        yield change
+        if batch:
+            change.state["batches"][batch[0]] = batch[1]
+        self._commit(change.state)
+
+    def done(self, batch: tuple[str, int]) -> bool:
+        """Whether the batch has been worked in."""
+        return self.state()["batches"].get(batch[0], -1) >= batch[1]
+
+    def _commit(self, state: dict) -> None:
+        state["number"] += 1
+        top, put = f"{self.folder}/_snapshots", f"{self.folder}/_snapshots/{state['number']:012d}.json"
+        draft = self._path(f"{top}/{uuid.uuid4().hex}.draft")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self._fs.exists(self._path(put)) or not self._fs.rename(draft, self._path(put)):
+            raise RuntimeError("another writer has changed the store")
+        self._clean()
+
+    def _clean(self) -> None:
+        """Remove old snapshots and the folders that no kept snapshot names."""
+        found = self.snapshots()
+        named = {at.rsplit("/", 1)[0] for path in found[-KEPT:] for held in self._load(path)["tables"].values() for at in held.values()}
+        for path in found[:-KEPT]:
+            self._fs.delete(self._path(path), False)
+        for name in SCHEMAS:
+            for folder in self.listed(f"{self.folder}/{name}"):
+                if folder not in named:
+                    self._fs.delete(self._path(folder), True)
 
     def delete_document(self, document_id: str) -> None:
-        """The document, its facts, their pairs, relationships and memberships; clusters are counted anew."""
-        facts, rels = without_document(self.read("facts"), self.read("relationships"), document_id, "fact_a_id", "fact_b_id")
-        gone = self.read("facts").filter(F.col("document_id") == document_id).select("id")
-        pairs = _untouched(self.read("candidate_pairs"), gone, "fact_a_id", "fact_b_id")
-        members = _untouched(self.read("cluster_members"), gone, "fact_id")
-        counts = members.join(facts.select(F.col("id").alias("fact_id"), "document_id"), "fact_id").groupBy("cluster_id").agg(F.count_distinct("fact_id").alias("_n"), F.count_distinct("document_id").alias("_d"))
-        groups = self.read("fact_clusters")
-        left = groups.join(counts, groups.id == counts.cluster_id).withColumns({"fact_count": F.col("_n"), "source_doc_count": F.col("_d")})
-        # all frames still read the old versions, so facts, on which the others depend, are written last
-        for name, df in (("relationships", rels), ("candidate_pairs", pairs), ("fact_clusters", left), ("cluster_members", members)):
-            self.overwrite(name, df)
-        self.overwrite("diagnostics", self.read("diagnostics").filter(F.col("document_id") != document_id))
-        self.overwrite("facts", facts)
-        self.overwrite("documents", self.read("documents").filter(F.col("id") != document_id))
+        """The document, its facts, their pairs, relationships and memberships; its clusters are counted anew."""
+        with self.change() as c:
+            own = self.spark.createDataFrame([(document_id,)], "id string")
+            gone = cut(c.read("facts").filter(F.col("document_id") == document_id).select("id"))
+            shared = cut(c.read("cluster_members").join(gone, F.col("fact_id") == F.col("id"), "left_semi").select("cluster_id"))
+            nothing = lambda name: empty(self.spark, name)
+            c.replace("documents", nothing("documents"), "id", own)
+            for name in ("facts", "diagnostics"):
+                c.replace(name, nothing(name), "document_id", own, ("document_id",))
+            for name in ("relationships", "candidate_pairs"):
+                c.replace(name, nothing(name), "id", gone, ("fact_a_id", "fact_b_id"))
+            c.replace("cluster_members", nothing("cluster_members"), "fact_id", gone, ("fact_id",))
+            c.recount(shared)
 
     def delete_all(self) -> None:
-        for name in SCHEMAS:
-            self.overwrite(name, empty(self.spark, name))
+        with self.change() as c:
+            c.state["tables"] = {}
 
     def set_status(self, document_id: str, status: str, progress: int, message: str, now: str, error: str | None = None) -> None:
-        d = self.read("documents")
-        own = F.col("id") == document_id
-        new = {"status": F.lit(status), "progress_pct": F.lit(progress), "progress_message": F.lit(message), "error_message": F.lit(error).cast("string"), "updated_at": F.lit(now)}
-        self.overwrite("documents", d.withColumns({c: F.when(own, v).otherwise(F.col(c)) for c, v in new.items()}))
+        with self.change() as c:
+            new = {"status": F.lit(status), "progress_pct": F.lit(progress), "progress_message": F.lit(message), "error_message": F.lit(error).cast("string"), "updated_at": F.lit(now)}
+            own = c.read("documents").filter(F.col("id") == document_id)
+            c.replace("documents", own.withColumns(new), "id", own.select("id"))
 
 
 def _untouched(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:

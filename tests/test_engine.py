@@ -16,8 +16,9 @@ from factloom.operators.extract import callouts, first_wins
 from factloom.operators.match import similar
 from factloom.operators.relate import upsert
 from factloom.plans.ingest import facts_of_pages, ingest, knowledge
-from factloom.plans.store import Store
+from factloom.plans.store import SCHEMAS, Change, Store
 from factloom.sources.pages import document_totals, flag_duplicates, parse_pages, scan_files
+from factloom.streaming.landing import watch_pages
 
 PAGES = [
     ("d1", 1, "Acme Logistics reported revenue of Rs. 2,500 crore in FY2024. EBITDA was Rs. 350 crore in FY2024."),
@@ -186,7 +187,86 @@ def test_ingest_compares_only_new_documents(spark, tmp_path):
         assert rows[0] == rows[1] and rows[0], name
     last = steps.read("diagnostics").filter("document_id = 'd2'").first()
     assert last.candidate_pairs > 0 and last.relationships > 0 and last.chunks_created == 1 and last.accepted_facts > 0
-    assert len(steps._versions("facts")) == 2  # older versions stay for their readers, up to KEPT
+    steps.delete_document("d2")
+    ingest(steps, pages.filter("document_id = 'd2'"), docs.filter("id = 'd2'"))  # deleted and brought again: as before
+    for name in ("facts", "candidate_pairs", "relationships", "fact_clusters", "cluster_members"):
+        assert sorted(str(r) for r in steps.read(name).collect()) == sorted(str(r) for r in whole.read(name).collect()), name
+
+
+def tables_of(store):
+    return {n: sorted(str(r) for r in store.read(n).collect()) for n in SCHEMAS}
+
+
+def test_changes_are_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A change that breaks between two tables leaves what readers see, wherever it breaks; the next one cleans up."""
+    store = Store(spark, str(tmp_path), buckets=4)
+    pages, docs = spark.createDataFrame(PAGES[:2], SCHEMA), spark.createDataFrame([("d1", "d1.pdf"), ("d3", "d3.pdf")], "id string, filename string")
+    ingest(store, pages, docs)
+    old, reader = tables_of(store), store.now()
+    real = Change.replace
+    for fails_at in ("facts", "relationships", "diagnostics"):
+
+        def broken(self, name, *args, fails_at=fails_at, **more):
+            if name == fails_at:
+                raise OSError("lost")
+            real(self, name, *args, **more)
+
+        monkeypatch.setattr(Change, "replace", broken)
+        with pytest.raises(OSError):
+            ingest(store, spark.createDataFrame(PAGES[2:4], SCHEMA), spark.createDataFrame([("d2", "d2.pdf"), ("d4", "d4.pdf")], "id string, filename string"))
+        with pytest.raises(OSError):
+            store.delete_document("d1")
+        assert tables_of(store) == old
+    monkeypatch.setattr(Change, "replace", real)
+    with store.change() as mine:
+        with store.change():
+            pass
+        with pytest.raises(RuntimeError):  # a second writer is told
+            store._commit(mine.state)
+        mine.state = store.state()
+    store.delete_document("d1")
+    assert {r.document_id for r in store.read("facts").collect()} == {"d3"}
+    assert sorted(str(r) for r in reader.read("facts").collect()) == old["facts"]  # who opened the old snapshot reads it still
+
+
+def test_one_document_touches_its_buckets(spark, tmp_path):
+    """One document more in a store of 200 writes its own buckets only."""
+    store = Store(spark, str(tmp_path), buckets=32)
+    many = [(f"n{i}", 1, f"Company{chr(97 + i % 26)}{chr(97 + i // 26)} Works reported revenue of Rs. {i + 10} crore in FY2024.") for i in range(200)]
+    ingest(store, spark.createDataFrame(many, SCHEMA), spark.createDataFrame([(d, d) for d, *_ in many], "id string, filename string"))
+    before = store.state()["tables"]
+    ingest(store, spark.createDataFrame(PAGES[:1], SCHEMA), spark.createDataFrame([("d1", "d1.pdf")], "id string, filename string"))
+    after = store.state()["tables"]
+    for name in ("documents", "facts", "cluster_members", "diagnostics"):
+        changed = [b for b in after[name] if after[name][b] != before[name].get(b)]
+        assert len(changed) == 1 and len(after[name]) > 25, name
+    assert sum(after["fact_clusters"][b] != before["fact_clusters"].get(b) for b in after["fact_clusters"]) <= 2
+    assert store.read("documents").count() == 201
+
+
+def test_failed_documents(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    pages = spark.createDataFrame([("d1", 1, PAGES[0][2], None), ("bad", None, None, "no such font"), ("d3", 1, PAGES[1][2], None)], f"{SCHEMA}, error string")
+    ingest(store, pages, spark.createDataFrame([(d, d) for d in ("d1", "bad", "d3", "none")], "id string, filename string"))
+    assert {r.id: (r.status, r.error_message) for r in store.read("documents").collect()} == {"d1": ("COMPLETED", None), "d3": ("COMPLETED", None), "none": ("COMPLETED", None), "bad": ("FAILED", "no such font")}
+    assert {r.document_id for r in store.read("facts").collect()} == {"d1", "d3"}
+
+
+def test_stream_replays_change_nothing(spark, tmp_path):
+    """Batches of a stream are worked in once: after a replay of the last batch, and after a failure in the middle of one."""
+    store, landing, checkpoint = Store(spark, str(tmp_path / "store")), str(tmp_path / "in"), tmp_path / "checkpoint"
+    land = lambda rows: spark.createDataFrame([(d, f"{d}.pdf", n, t) for d, n, t in rows], "document_id string, filename string, page_number int, text string").coalesce(1).write.mode("append").parquet(landing)
+    run = lambda: watch_pages(spark, landing, store, str(checkpoint)).awaitTermination()
+    land(PAGES[:2])
+    run()
+    land(PAGES[2:3])
+    run()
+    old = tables_of(store)
+    assert len(old["diagnostics"]) == len(old["documents"]) == 3 and old["relationships"] and store.state()["batches"] == {"pages": 1}
+    for mark in checkpoint.glob("commits/*1*"):  # as if the query had ended between the store's commit and its own
+        mark.unlink()
+    run()
+    assert tables_of(store) == old
 
 
 def test_sources(spark, tmp_path):
