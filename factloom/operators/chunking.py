@@ -9,31 +9,33 @@ from factloom.functions import vocab as V
 from factloom.functions.text import sentences, word_count
 
 
-def pack(parts: Column, limit: int, overlap: int) -> Column:
-    """Runs of sentences of at most `limit` words; each run starts with the last sentences of the one before that make up
-    at most `overlap` words. A fold over the sentences that keeps the runs so far and the open one."""
-    sized = F.transform(parts, lambda s: F.struct(s.alias("s"), word_count(s).alias("n")))
-    total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["n"])
+def pack(parts: Column, sizes: Column, limit: int, overlap: int) -> Column:
+    """Runs of sentences (`sizes` are their words) of at most `limit` words; each run starts with the last sentences of the one
+    before that make up at most `overlap` words.
+
+    One pass over the sentences that keeps the finished runs as texts, the open run and its words: a sentence costs a step over the
+    open run alone, and only a run that closes looks back over its sentences. (Taking slices of the whole array instead would copy
+    it for each run.)"""
     nothing = F.array().cast("array<struct<s:string,n:int>>")
-    start = F.struct(F.array().cast("array<array<struct<s:string,n:int>>>").alias("done"), nothing.alias("open"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), nothing.alias("open"), F.lit(0).alias("words"))
+    text = lambda run: F.array(F.array_join(F.transform(run, lambda x: x["s"]), " "))
 
     def tail(run: Column) -> Column:
-        keep = F.aggregate(
-            F.reverse(run),
-            F.struct(nothing.alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("full")),
-            lambda a, x: F.when(a["full"] | (a["n"] + x["n"] > overlap), F.struct(a["kept"].alias("kept"), a["n"].alias("n"), F.lit(True).alias("full"))).otherwise(
-                F.struct(F.concat(F.array(x), a["kept"]).alias("kept"), (a["n"] + x["n"]).alias("n"), F.lit(False).alias("full"))
-            ),
-        )
-        return keep["kept"]
+        """The last sentences that fit the overlap, and their words."""
+        state = lambda kept, words, full: F.struct(kept.alias("kept"), words.alias("words"), F.lit(full).alias("full"))
+        return F.aggregate(
+            F.reverse(run), state(nothing, F.lit(0), False),
+            lambda a, x: F.when(a["full"] | (a["words"] + x["n"] > overlap), state(a["kept"], a["words"], True)).otherwise(state(F.concat(F.array(x), a["kept"]), a["words"] + x["n"], False)),
+        )
 
     def step(a: Column, x: Column) -> Column:
-        full = (F.size(a["open"]) > 0) & (total(a["open"]) + x["n"] > limit)
-        closed = F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), F.concat(tail(a["open"]), F.array(x)).alias("open"))
-        return F.when(full, closed).otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], F.array(x)).alias("open")))
+        full = (F.size(a["open"]) > 0) & (a["words"] + x["n"] > limit)
+        kept = tail(a["open"])
+        closed = F.struct(F.concat(a["done"], text(a["open"])).alias("done"), F.concat(kept["kept"], F.array(x)).alias("open"), (kept["words"] + x["n"]).alias("words"))
+        return F.when(full, closed).otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], F.array(x)).alias("open"), (a["words"] + x["n"]).alias("words")))
 
-    runs = F.aggregate(sized, start, step, lambda a: F.concat(a["done"], F.when(F.size(a["open"]) > 0, F.array(a["open"])).otherwise(F.array().cast("array<array<struct<s:string,n:int>>>"))))
-    return F.transform(runs, lambda run: F.array_join(F.transform(run, lambda x: x["s"]), " "))
+    sized = F.zip_with(parts, sizes, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
+    return F.aggregate(sized, start, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], text(a["open"]))).otherwise(a["done"]))
 
 
 def chunk_pages(pages: DataFrame, limit: int = V.CHUNK_WORDS, overlap: int = V.OVERLAP_WORDS) -> DataFrame:
@@ -41,7 +43,8 @@ def chunk_pages(pages: DataFrame, limit: int = V.CHUNK_WORDS, overlap: int = V.O
     body = F.regexp_replace(F.col("text"), r"(?U)^\s+|\s+$", "")
     p = pages.select("document_id", "page_number", body.alias("text")).filter("text != ''").withColumn("_n", word_count(F.col("text")))
     whole = p.filter(F.col("_n") <= limit).withColumn("_parts", F.array("text"))
-    split = p.filter(F.col("_n") > limit).withColumn("_parts", pack(sentences(F.col("text")), limit, overlap))
+    split = p.filter(F.col("_n") > limit).withColumn("_s", sentences(F.col("text"))).withColumn("_w", F.transform("_s", word_count))
+    split = split.withColumn("_parts", pack(F.col("_s"), F.col("_w"), limit, overlap)).drop("_s", "_w")
     out = whole.unionByName(split).select("document_id", "page_number", F.posexplode("_parts").alias("chunk_ordinal", "text"))
     key = F.sha2(F.concat_ws("\u0001", F.col("document_id").cast("string"), "page_number", "chunk_ordinal", "text"), 256)
     return out.withColumns({"start_page": F.col("page_number"), "end_page": F.col("page_number"), "chunk_id": key, "word_count": word_count(F.col("text"))})

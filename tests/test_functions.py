@@ -1,8 +1,11 @@
 """Scalar functions against hand-worked values."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.functions import periods, quality, text, values
+from factloom.operators.chunking import pack
 from factloom.operators.ground import fact_confidence, ground
 
 
@@ -99,3 +102,33 @@ def test_fuzzy_grounding_against_brute_force(spark):
             assert got[k].matched_snippet == (stretch if ratio else None)
             fuzzy += 1
         assert fuzzy >= 12
+
+
+def plain_pack(sizes, limit, overlap):
+    """Places of the runs, by hand."""
+    runs, run, words = [], [], 0
+    for at, n in enumerate(sizes):
+        if run and words + n > limit:
+            runs.append((run[0], at))
+            kept, held = [], 0
+            for k in reversed(run):
+                if held + sizes[k] > overlap:
+                    break
+                kept.insert(0, k)
+                held += sizes[k]
+            run, words = kept, held
+        run.append(at)
+        words += n
+    return [*runs, (run[0], len(sizes))] if run else runs
+
+
+def test_pack(spark):
+    """Runs of few and of 100,000 sentences, with empty, large and hot sizes, equal the plain packer's."""
+    rng = random.Random(3)
+    cases = [[], [5], [2000], [0, 0, 0], [100] * 30, [990, 20, 20, 990, 150, 151, 0, 1], [rng.choice([0, 1, 7, 20, 60, 400, 1500]) for _ in range(400)], [rng.randint(1, 30) for _ in range(100_000)]]
+    rows = spark.createDataFrame([(k, sizes) for k, sizes in enumerate(cases)], "k int, sizes array<int>").withColumn("parts", F.transform("sizes", lambda n, at: at.cast("string")))
+    for limit, overlap in ((1000, 150), (100, 20)):
+        some = rows if limit == 1000 else rows.filter("k < 7")
+        got = {r.k: r.runs for r in some.select("k", pack(F.col("parts"), F.col("sizes"), limit, overlap).alias("runs")).collect()}
+        for k, sizes in enumerate(cases[: len(got)]):
+            assert got[k] == [" ".join(map(str, range(i, j))) for i, j in plain_pack(sizes, limit, overlap)]
