@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import splitter
-from factloom.llm.common import materialise, partitions
+from factloom.llm.common import materialise, partitions, unused
 from factloom.llm.tokens import boundaries_once, model
 
 BLOCK = 1 << 16
@@ -235,7 +235,7 @@ def weight(plane: Column) -> Column:
 
 def encode_pairs(docs: DataFrame, a: str, b: str, text: str, keep: list[str]) -> DataFrame:
     """Rows of documents (block, place, numbers, groups, doc) and rows of postings (block, plane, pair, bitmap)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("place")).alias("doc"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias(unused(docs, "none")[0])).alias("doc"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     schema = f"block long, place int, plane int, pair long, bitmap binary, n_a long, n_b long, n_groups long, groups string, doc {kind}"
     fields = ["block", "place", "plane", "pair", "bitmap", "n_a", "n_b", "n_groups", "groups", "doc"]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import partitions, row_hash
+from factloom.llm.common import partitions, row_hash, unused
 
 HEAD, HEAD_BYTES, SAMPLE = 1_000_000, 48, 20_000
 #: Bytes of text for each block: with it, the words that one task holds at a time are bounded.
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, name: str, text: str = "text", to: str = "ids", keep
             pa.default_memory_pool().release_unused()
 
     # the one column besides `keep` holds its place where nothing is kept
-    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("ids")).alias("doc"), F.col(text).alias("text"), F.pmod(row_hash(docs, 11), F.lit(blocks)).alias("block"))
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias(unused(docs, "none")[0])).alias("doc"), F.col(text).alias("text"), F.pmod(row_hash(docs, 11), F.lit(blocks)).alias("block"))
     kind = placed.schema["doc"].dataType.simpleString()
     found = placed.select("block", "text").mapInArrow(rare, "bucket long, words binary")
     coded = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_bucket, "block long, payload binary")
