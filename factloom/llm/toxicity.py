@@ -8,8 +8,8 @@ more often than clean ones, with the logarithm of that ratio as their weight.
 A text is split at white space, and each distinct token is described once while a worker remembers it (the tables are
 bounded); sums over the tokens' rows give the features, so the cost hardly depends on how much a description looks at.
 
-Training: labelled rows whose crc32(doc_id as text) mod 5 is 0 are held out. Of the others at most about TRAIN_ROWS are
-used, chosen by hash: the one bounded sample here. A document with several labels, or a text with several documents, counts
+Training: labelled rows whose crc32(doc_id as text) mod 5 is 0 are held out. Of the others about TRAIN_ROWS ids at most, and
+of their distinct texts about TRAIN_ROWS at most, are used, chosen by hash: the one bounded sample here. A document with several labels, or a text with several documents, counts
 as toxic if at least half of the labels say so. The distinct texts of each class are dealt evenly to PARTS parts (fewer if a
 class has fewer texts), and each part is described by a list learned on the others: no text is described by words learned
 from itself or a copy, and all lists are learned on equally many texts. The trees are fitted on all parts but the first, the
@@ -158,22 +158,19 @@ def features(text: str | None, known: Tokens) -> list[float]:
     told: set[str] = set()
     for a in range(0, len(tokens), 100_000):
         part = tokens[a : a + 100_000]
-        if max(map(len, part)) > LONG:
-            for token in [t for t in part if len(t) > LONG]:  # described anew; their words count as standing before the others
-                row, here, kinds = known.describe(token)
-                sums += row
-                most, told = max(most, row[-2]), told | set(kinds)
-                listed += [(before + i, k, w) for i, k, w in here]
-                before += row[0]
-            part = [t for t in part if len(t) <= LONG]
-        at, rows = known.rows(part)
+        # too long to be remembered: described each time, its row is put in its place
+        long = {i: known.describe(token) for i, token in enumerate(part) if len(token) > LONG} if max(map(len, part)) > LONG else {}
+        at, rows = known.rows([t for t in part if len(t) <= LONG] if long else part)
+        if long:
+            where = np.fromiter(long, np.int64, len(long)) - np.arange(len(long))
+            at, rows = np.insert(at, where, -1), np.insert(rows, where, [row for row, _, _ in long.values()], axis=0)
         sums += rows.sum(0)
         telling = np.flatnonzero(rows[:, -1])
         if len(telling):
             most = max(most, rows[telling, -2].max())
             begin = before + np.cumsum(rows[:, 0]) - rows[:, 0]
             for i in telling.tolist():
-                here, kinds = known.telling[int(at[i])]
+                here, kinds = long[i][1:] if i in long else known.telling[int(at[i])]
                 listed += [(int(begin[i]) + place, k, w) for place, k, w in here]
                 told.update(kinds)
         before += int(rows[:, 0].sum())
@@ -272,9 +269,13 @@ def training_texts(docs: DataFrame, labels: DataFrame, train_rows: int) -> tuple
     truth = materialise(truth.filter(fold(F.col("doc_id")) != 0), "labels")
     share = min(1.0, train_rows / max(1, truth.count()))
     chosen = truth.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # about train_rows ids, so the broadcast is bounded by that parameter
+    # about train_rows ids, so this broadcast is bounded by that parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     once = materialise(rows.groupBy(F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), (F.avg("label") >= 0.5).cast("double").alias("label")), "train")
+    # an id can have many documents: the distinct texts are bounded as well, and with them all that is learned from or sent
+    kept = min(1.0, train_rows / max(1, once.count()))
+    if kept < 1:
+        once = once.filter(F.pmod(F.xxhash64("hash", F.lit(2)), F.lit(1 << 30)) < int(kept * (1 << 30)))
     sizes = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = min(PARTS, sizes.get(0.0, 0), sizes.get(1.0, 0))
     if parts < 2:

@@ -8,14 +8,16 @@ input gives equal bytes. A task writes under temporary names that hold its attem
 reports its files, so lost executors and speculative copies leave nothing that counts. The files reported are then renamed
 and listed, with their sizes and SHA-256, in a manifest (a Parquet table written last); readers read what it lists.
 
-Files are opened through pyarrow's file systems by the folder's URI, so the folder can be on any shared store.
+Files are opened through pyarrow's file systems by the folder's full URI (a folder without a scheme lies on the default file
+system, as for Spark itself), so the folder can be on any shared store.
 
 Temporary files of attempts that did not count are removed once the manifest is written.
 
-Defined results: null payloads are empty; repeated rows are records of their own with equal record ids numbered apart; a
+Defined results: null payloads are empty; repeated rows are records of their own, whose record ids are apart by the number of
+the copy among the rows of equal page_id and payload; a
 null url has no header and an empty one an empty header; control characters in a url are percent-encoded, which a header says,
-and decoded on reading; a null page_id is written as an empty header, refers to nothing and is not referred to while another
-copy has an id; very long payloads are written and read whole; an empty table gives an empty archive with an empty manifest.
+and decoded on reading; a null page_id is written as an empty header; such a row revisits the copy with the largest id, and
+where no copy has an id all are responses; very long payloads are written and read whole; an empty table gives an empty archive with an empty manifest.
 Columns other than page_id, url and html are not read.
 """
 
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, partitions, scratch_folder, utf8_bytes
+from factloom.llm.common import materialise, partitions, running_sums, scratch_folder, utf8_bytes
 
 ROLL = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -43,9 +45,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
 
 
+def _resolved(spark: SparkSession, folder: str) -> str:
+    """The folder's full URI: without a scheme it lies where Spark itself would put it, on the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in folder and not folder.startswith("file:"):
-        return pafs.LocalFileSystem(), folder
+    """The file system of a full URI and the path in it."""
     if folder.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(folder)
@@ -97,20 +104,41 @@ def member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
+FIELDS = ["page_id", "url", "html", "digest", "refers_to", "referred", "copy"]
 MANIFEST = "file string, temporary string, records long, bytes long, sha256 string, first_page long, last_page long"
 
 
+def numbered(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows with `copy`, which numbers the rows of equal page_id and digest from 0 by url; pairs: how often each such pair occurs.
+
+    Rows that are equal in the url too hold the same payload: they are grouped, numbered as one and put out again, so a
+    third of all rows in one group is no more than one row until then.
+    """
+    again = pairs.filter("times > 1").select(F.col("digest").alias("_digest"), F.col("page_id").alias("_page"))
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    same = (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page"))
+    groups = rows.join(again, same, "left_semi").groupBy("page_id", "digest", "url").agg(F.first("html").alias("html"), F.first("n").alias("n"), F.count("*").alias("times"))
+    summed = running_sums(groups, ["page_id", "digest", "url"], {"times": "upto"}, "groups").withColumn("start", F.col("upto") - F.col("times"))
+    first = summed.groupBy(F.col("digest").alias("_digest"), F.col("page_id").alias("_page")).agg(F.min("start").alias("first"))
+    spread = summed.join(first, same).withColumn("copy", F.explode(F.sequence(F.col("start") - F.col("first"), F.col("upto") - F.col("first") - 1)))
+    return rows.join(again, same, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(spread.select(*rows.columns, "copy"))
+
+
 def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL, level: int = 6) -> DataFrame:
     """Write pages (page_id, url, html) as an archive under folder; return its manifest."""
     spark = pages.sparkSession
+    folder = _resolved(spark, folder)
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), utf8_bytes(html).alias("n"))
-    keys = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("referred"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    lowest = F.when(~F.max(F.col("url").isNull()), F.min("url"))  # the url of copy 0, nulls first
+    pairs = materialise(rows.groupBy("digest", "page_id").agg(F.first("n").alias("n"), lowest.alias("url"), F.count("*").alias("times")), "pairs")
+    keys = pairs.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("referred"), F.sum("times").alias("times")).filter("times > 1").drop("times")
     # written first, so that Spark knows its size: it is broadcast only if small, else both sides are shuffled
     keys = materialise(keys, "copies")
-    linked = rows.join(keys, "digest", "left").withColumn("refers_to", F.when(F.col("n") >= least, F.col("refers_to")))
+    linked = numbered(rows, pairs).join(keys, "digest", "left").withColumn("refers_to", F.when(F.col("n") >= least, F.col("refers_to")))
     linked = linked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
-    order = ["page_id", "digest", "url"]
+    order = ["page_id", "digest", "copy"]  # no two rows are equal in these, so that no range is too large to split
     ordered = linked.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
@@ -121,7 +149,6 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROL
         part, attempt = task.partitionId(), task.taskAttemptId()
         done: list[tuple] = []
         out, seal, now = None, None, {}
-        last, copy = None, 0
 
         def close() -> None:
             nonlocal out
@@ -131,9 +158,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROL
                 out = None
 
         for batch in batches:
-            for page, url, html, sha1, refers, referred in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "referred"))):
-                copy = copy + 1 if (page, sha1) == last else 0
-                last = (page, sha1)
+            for page, url, html, sha1, refers, referred, copy in zip(*(batch.column(c).to_pylist() for c in FIELDS)):
                 data = member(record(page, url, html.encode(), bare(sha1), refers, copy, referred), level)
                 if out is None:
                     file = f"part-{part:05d}-{len(done):04d}.warc.gz"
@@ -149,7 +174,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, roll: int = ROL
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], k) for i, k in enumerate(kinds)], [c.split()[0] for c in MANIFEST.split(", ")])
 
-    written = materialise(ordered.select("page_id", "url", "html", "digest", "refers_to", "referred").mapInArrow(write, MANIFEST), "written")
+    written = materialise(ordered.select(*FIELDS).mapInArrow(write, MANIFEST), "written")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
@@ -196,6 +221,7 @@ def parse(data: bytes) -> dict:
 
 def read_archive(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """One row per record of the files that the manifest lists, with digests checked."""
+    folder = _resolved(manifest.sparkSession, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)

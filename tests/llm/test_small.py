@@ -359,6 +359,23 @@ def test_warc_urls_and_thresholds(spark, tmp_path):
     assert {(r.page_id, r.refers_to) for r in revisits} == {(i, 6) for i in range(6)} and {r.page_id: r.url for r in revisits} == dict(list(enumerate(urls))[:6])
 
 
+def test_warc_copies_have_ids_of_their_own(spark, tmp_path):
+    """Rows of equal id and payload, with equal and with other urls, many and with a null id: every record id is its own."""
+    rows = [(7, f"u{i % 40}", "same") for i in range(120)] + [(None, None if i % 3 else "v", "") for i in range(90)] + [(None, "w", "same")] * 2 + [(i, f"p{i}", f"text {i}") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = str(tmp_path / "a")
+    manifest = warc.write_archive(pages, folder, roll=500)
+    found = [warc.parse(m) for r in manifest.collect() for m in warc.members(open(f"{folder}/{r.file}", "rb"))]
+    ids = {f["WARC-Record-ID"] for f in found}
+    assert len(found) == len(rows) == len(ids) and {f["WARC-Refers-To"] for f in found if "WARC-Refers-To" in f} <= ids
+    got = warc.read_archive(manifest, folder).collect()
+    text = lambda r: bytes(r.payload).decode() if r.record_type == "response" else None
+    plain = [(i, u, "revisit" if i is None and h == "same" else "response", 7 if i is None and h == "same" else None, None if i is None and h == "same" else h) for i, u, h in rows]
+    assert sorted(map(repr, ((r.page_id, r.url, r.record_type, r.refers_to, text(r)) for r in got))) == sorted(map(repr, plain))
+    other = warc.write_archive(pages.repartition(2), str(tmp_path / "b"), roll=500)
+    assert sorted(f["WARC-Record-ID"] for r in other.collect() for f in map(warc.parse, warc.members(open(f"{tmp_path}/b/{r.file}", "rb")))) == sorted(ids)
+
+
 # --- simhash --------------------------------------------------------------------------------------------------------------
 
 
@@ -525,6 +542,15 @@ def test_features():
         text = " ".join(rng.choices(bits, k=k))
         f = dict(zip(toxicity.FEATURES, toxicity.features(text, plain)))
         assert all(abs(f[c] - x) < 1e-9 for c, x in plain_features(text).items()), k
+    # words of very long tokens keep their place among the others
+    bits += ["/".join(["bbbbb"] * 12 + ["idiot"]), "x" * 200, "you-" * 30, "kill/" * 25 + "YOU"]
+    for k in (3, 60, 3000):
+        text = " ".join(rng.choices(bits, k=k))
+        f = dict(zip(toxicity.FEATURES, toxicity.features(text, plain)))
+        assert all(abs(f[c] - x) < 1e-9 for c, x in plain_features(text).items()), k
+    for pad in (9, 10, 11, 12, 13):  # the token's length passes 64 characters here
+        text = " ".join(["you", *["word"] * 40, "/".join(["bbbbb"] * pad + ["idiot"])])
+        assert dict(zip(toxicity.FEATURES, toxicity.features(text, plain)))["near_second_person"] == 0
     learned = dict(zip(toxicity.FEATURES, toxicity.features("glarn foo glarnish", toxicity.Tokens({"glarn$": 2.0, "glar": 1.5}))))
     assert (learned["learned_words"], learned["learned_kinds"], learned["learned_most"], learned["learned"]) == (2, 2, 2.0, 3500 / 3)
 
@@ -568,6 +594,13 @@ def test_fit(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)
 
 
+def test_training_is_bounded_where_an_id_has_many_documents(spark):
+    rows, labels = labelled(spark, random.Random(31), 40)
+    many = rows.unionByName(docs(spark, [(1, f"text number {i} of one id", "s") for i in range(3000)]))
+    train, _ = toxicity.training_texts(many, labels, 200)
+    assert 100 < train.count() < 300
+
+
 def test_parts_are_even_and_keep_copies_together(spark):
     rows, labels = labelled(spark, random.Random(19), 100)
     copies = rows.filter("doc_id < 8").withColumn("doc_id", F.col("doc_id") + 1000)
