@@ -2,16 +2,19 @@
 
 Stages: toxic documents go; of each class of near-duplicates one document stays; documents that hold benchmark passages go;
 sources are mixed to their weights (a document may go, or come up to three times); what is left is shuffled into shards.
-All stages but the last return the columns of documents; the last adds shard and slot.
+All stages but the last return the columns of documents, also those that have the name of a column that an operator adds;
+the last adds shard and slot (in place of columns so named). Null and empty texts are clean, form one class, of which one
+document stays, and are taken or not without a word's difference; an empty table passes through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise
+from factloom.llm.common import materialise, unused
 from factloom.llm.decontaminate import decontaminate
-from factloom.llm.mixing import mix, repeat
+from factloom.llm.mixing import OUT, mix, repeat
 from factloom.llm.sharding import shard_rows
 from factloom.llm.simhash import deduplicate
 from factloom.llm.toxicity import fit
@@ -20,10 +23,18 @@ from factloom.session import ship
 SHARDS = 24
 
 
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """docs, its columns of these names renamed, and what to select to have the columns of docs back."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    new = dict(zip(clash, unused(docs, *clash)))
+    return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return fit(docs, labels).scored(docs).filter("predicted = 0").select(*docs.columns)
+    rows, columns = set_aside(docs, ["score", "predicted"])
+    return fit(rows, labels).scored(rows).filter("predicted = 0").select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return repeat(mix(docs)).select(*docs.columns)
+    rows, columns = set_aside(docs, OUT)
+    return repeat(mix(rows)).select(*columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
