@@ -1,7 +1,8 @@
 """Facts from the business tables: what the reference's queries run on, made from orders and lineitem.
 
 Five ledgers play the part of documents. Yearly and quarterly amounts per nation become facts with an evidence quote on a
-page; the facts then pass the same gates, grounding and normalisation as extracted ones.
+page; the facts then pass the same gates, grounding and normalisation as extracted ones, the fuzzy level included: some pages
+tell a quote in other words and in another order, so that the share of common words exceeds every string ratio (SQL can follow).
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("evidence_quote", F.concat(name, F.lit(" reported "), F.col("predicate"), F.lit(" of "), F.col("value"), F.lit(" in "), F.col("period"), F.lit(".")))
     page = (
         F.when(nk % 4 < 2, F.concat(F.lit("Annual note. "), F.col("evidence_quote"), F.lit(" All figures are audited.")))
-        .when(nk % 4 == 2, F.concat(name, F.lit(" posted "), F.col("predicate"), F.lit(" near "), F.col("value"), F.lit(" during "), F.col("period"), F.lit(" overall.")))
+        .when(nk % 8 == 2, F.concat(F.lit("In "), F.col("period"), F.lit(" came "), F.col("value"), F.lit(" of "), F.col("predicate"), F.lit(", as "), name, F.lit(" posted.")))
+        .when(nk % 8 == 6, F.concat(F.when(F.col("document_id") == "volume_ledger", "In ").otherwise("During "), F.col("period"), F.lit(" came "), F.col("value"), F.lit(", near "), F.col("predicate"), F.lit(", as "), name, F.lit(" posted.")))
         .otherwise(F.concat(F.lit("No figures were published for "), name, F.lit(".")))
     )
     month = F.element_at(F.create_map(*[F.lit(x) for pair in LEDGERS for x in pair]), F.col("document_id"))
@@ -63,10 +65,10 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def build_facts(raw: DataFrame, fuzzy: bool = True, held: list[DataFrame] | None = None) -> DataFrame:
+def build_facts(raw: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
     """Gates, grounding, confidence and normalisation of raw facts; rejected ones are kept as they came."""
     judged = hold(judge(raw), held)  # both branches read it
-    accepted = normalize_fact(ground(judged.filter("status = 'ACCEPTED'"), fuzzy)).drop("matched_snippet")
+    accepted = normalize_fact(ground(judged.filter("status = 'ACCEPTED'"))).drop("matched_snippet")
     accepted = accepted.withColumn("confidence", fact_confidence(F.col("grounding_score"), F.col("quality_score")))
     rejected = judged.filter("status = 'REJECTED'").withColumns(
         {"grounding_status": F.lit("UNVERIFIED"), "grounding_score": F.lit(0.0), "confidence": F.lit(0.1), "normalized_evidence": F.lit(None).cast("string"), "normalized_value": F.lit(None).cast("double"), "normalized_unit": F.lit(None).cast("string")}
@@ -75,9 +77,9 @@ def build_facts(raw: DataFrame, fuzzy: bool = True, held: list[DataFrame] | None
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledgers' facts. Quotes that no exact level settles are grounded by token overlap alone."""
+    """The ledgers' facts, judged, grounded at all levels and normalised."""
     # every query below reads them several times over; what is lost with an executor is computed again
-    return build_facts(raw_ledger(spark, sf_dir).persist(), fuzzy=False).persist()
+    return build_facts(raw_ledger(spark, sf_dir).persist()).persist()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from factloom.functions import metrics, periods, quality, text, values
 from factloom.functions import vocab as V
 from factloom.operators import chunking, extract, match, relate
 from factloom.operators import ground as grounding
-from factloom.plans import ledger, sql, store, views
+from factloom.plans import ledger, reports, sql, store, views
+from factloom.plans.ingest import facts_of_pages
 from factloom.session import table
 
 QUERIES: dict = {}
@@ -466,15 +467,38 @@ def delete_document_cascade(spark, sf_dir):
     return count("facts", facts).unionByName(count("relationships", rels))
 
 
+_FOUND = ["document_id", "ordinal", "subject", "predicate", "value", "fact_type", "period", "scope", "unit", "currency", "evidence_quote"]
+
+
+@query("WITH " + reports.REPORTS_SQL + f" SELECT {', '.join(_FOUND)} FROM found")
+def extract_reports(spark, sf_dir):
+    """Rule extraction over a report page of each order: all three sentence patterns and call-out blocks."""
+    return extract.extract_facts(chunking.chunk_pages(reports.report_pages(spark, sf_dir))).select(*_FOUND)
+
+
+_INGESTED = ["document_id", "subject", "predicate", "value", "status", "grounding_status", "grounding_score", "confidence", "normalized_value", "normalized_unit", "currency", "period", "scope"]
+
+
+@query(
+    "WITH " + reports.REPORTS_SQL + "," + reports.INGESTED_SQL
+    + f""" SELECT document_id, subject, predicate, value, 'ACCEPTED' AS status, 'VERIFIED' AS grounding_status, 1.0::DOUBLE AS grounding_score, round(least(0.98::DOUBLE, greatest(0.2::DOUBLE, 0.55::DOUBLE + quality_score * 0.45::DOUBLE)), 3) AS confidence,
+ normalized_value, coalesce(normalized_unit, unit) AS normalized_unit, coalesce(currency, normalized_currency) AS currency, {sql.normalize_period("period")} AS period, scope FROM valued WHERE rejection_reason IS NULL
+ UNION ALL SELECT document_id, subject, predicate, value, 'REJECTED', 'UNVERIFIED', 0.0, 0.1, NULL, NULL, currency, period, scope FROM valued WHERE rejection_reason IS NOT NULL"""
+)
+def ingest_reports(spark, sf_dir):
+    """The whole way from report pages, one an order, to judged, grounded and normalised facts."""
+    return facts_of_pages(reports.report_pages(spark, sf_dir)).select(*_INGESTED)
+
+
 @query()
 def extract_heuristic(spark, sf_dir):
-    """Rule extraction over whole documents, each with a report line made from the business tables."""
+    """Rule extraction over whole documents, each with report lines made from the business tables: the ledgers' lines are dealt to
+    97 lots, and a document gets all lines of its lot."""
     docs = _docs(spark, sf_dir)
     lines = ledger.raw_ledger(spark, sf_dir).select(F.concat(F.col("subject"), F.lit(" reported "), F.col("predicate"), F.lit(" of "), F.col("value"), F.lit(" in FY2024.")).alias("line"), "id")
-    numbered = lines.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(97)))
-    chosen = numbered.groupBy("slot").agg(F.min("line").alias("line"))
-    pages = docs.withColumn("slot", F.pmod("doc_id", F.lit(97))).join(F.broadcast(chosen), "slot", "left")
-    pages = pages.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("\n\n", "line", "text").alias("text"))
+    lots = lines.groupBy(F.pmod(F.xxhash64("id"), F.lit(97)).alias("lot")).agg(F.array_join(F.sort_array(F.collect_list("line")), " ").alias("lines"))  # some 1250 lines at every scale
+    pages = docs.withColumn("lot", F.pmod("doc_id", F.lit(97))).join(F.broadcast(lots), "lot", "left")
+    pages = pages.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("\n\n", "lines", "text").alias("text"))
     facts = extract.extract_facts(chunking.chunk_pages(pages))
     return facts.select("document_id", "ordinal", "subject", "predicate", "value", "fact_type", "period", "unit", "currency")
 
@@ -482,7 +506,5 @@ def extract_heuristic(spark, sf_dir):
 @query()
 def ingest_documents(spark, sf_dir):
     """The whole way from page text to judged, grounded and normalised facts."""
-    from factloom.plans.ingest import facts_of_pages
-
     pages = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
     return facts_of_pages(pages).select("id", "document_id", "subject", "predicate", "value", "status", "confidence")

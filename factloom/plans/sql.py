@@ -188,7 +188,8 @@ raw AS (
 ),
 paged AS (
   SELECT *, CASE WHEN n_nationkey % 4 < 2 THEN 'Annual note. ' || evidence_quote || ' All figures are audited.'
-                 WHEN n_nationkey % 4 = 2 THEN subject || ' posted ' || predicate || ' near ' || value || ' during ' || period || ' overall.'
+                 WHEN n_nationkey % 8 = 2 THEN 'In ' || period || ' came ' || value || ' of ' || predicate || ', as ' || subject || ' posted.'
+                 WHEN n_nationkey % 8 = 6 THEN CASE WHEN document_id = 'volume_ledger' THEN 'In ' ELSE 'During ' END || period || ' came ' || value || ', near ' || predicate || ', as ' || subject || ' posted.'
                  ELSE 'No figures were published for ' || subject || '.' END AS page_text
   FROM raw
 )"""
@@ -237,7 +238,7 @@ g4 AS (
          len(list_intersect(list_distinct(qt), list_distinct(pt)))::DOUBLE / len(list_distinct(qt)) AS share
   FROM g3
 ),
-g5 AS (SELECT *, coalesce(exact, round(least(1.0::DOUBLE, CASE WHEN share > 0.8 THEN share * 0.95::DOUBLE WHEN share > 0.6 THEN share * 0.85::DOUBLE ELSE 0.0::DOUBLE END), 4)) AS grounding_score FROM g4),
+g5 AS (SELECT *, coalesce(exact, round(CAST(least(1.0::DOUBLE, CASE WHEN share > 0.8 THEN share * 0.95::DOUBLE WHEN share > 0.6 THEN share * 0.85::DOUBLE ELSE 0.0::DOUBLE END) AS VARCHAR)::DECIMAL(18, 17), 4)::DOUBLE) AS grounding_score FROM g4),
 accepted AS (
   SELECT id, document_id, filename, page_number, subject, predicate, value, fact_type, {normalize_period("period")} AS period, scope, evidence_quote, quality_score, grounding_score,
          CASE WHEN grounding_score >= 0.85 THEN 'VERIFIED' WHEN grounding_score >= 0.60 THEN 'PARTIAL' ELSE 'UNVERIFIED' END AS grounding_status,
