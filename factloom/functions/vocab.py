@@ -140,3 +140,13 @@ CALLOUT_PERIODS = [
     ("Q4 FY2024", ["Q4 FY24", "Q4 FY 24", "Q4 FY2024"]), ("Q3 FY2024", ["Q3 FY24", "Q3 FY 24"]), ("FY2024", ["FY24", "FY 24", "2023-24", "FY2024"]),
     ("FY2023", ["FY23", "2022-23", "FY2023"]),
 ]
+
+#: Model replies: words in place of a predicate, metrics that stand as subjects, subjects sought in the text, and allowed types.
+REPLY_VALUE_WORDS = ["value", "amount", "metric", "figure", "level", "reported value"]
+REPLY_METRICS = [
+    "revenue", "sales", "ebitda", "profit", "net profit", "loss", "pat", "gdp", "real gdp", "inflation", "cpi", "fiscal deficit", "repo rate",
+    "capacity", "pressure", "power consumption", "nwc days", "parcel volume",
+]
+REPLY_SUBJECTS = ["Delhivery", "DeLonghi", "Acme Corp", "Tata Motors", "Infosys", "Reliance", "Amazon", "India", "RBI", "IMF", "Reserve Bank of India", "Government of India"]
+FACT_TYPES = ["financial_metric", "numerical_metric", "percentage", "date", "status", "comparison", "semantic_claim", "other"]
+RELATION_TYPES = ["CORROBORATE", "CONTRADICT", "RECONCILE", "UNRELATED"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import metrics, periods, quality, text, values
 from factloom.functions import vocab as V
-from factloom.operators import chunking, extract, match, relate
+from factloom.operators import chunking, extract, match, relate, replies
 from factloom.operators import ground as grounding
 from factloom.plans import ledger, reports, sql, store, views
 from factloom.plans.ingest import facts_of_pages
@@ -490,6 +490,29 @@ def ingest_reports(spark, sf_dir):
     return facts_of_pages(reports.report_pages(spark, sf_dir)).select(*_INGESTED)
 
 
+_MERGED = ["document_id", "subject", "predicate", "value", "fact_type", "period", "evidence_quote", "from_model"]
+
+
+@query("WITH " + reports.REPORTS_SQL + "," + reports.REPLIES_SQL + f" SELECT {', '.join(_MERGED)} FROM merged")
+def model_reply_facts(spark, sf_dir):
+    """Facts out of model replies to the reports, cleaned, and what the rules find beside them."""
+    chunks = chunking.chunk_pages(reports.report_pages(spark, sf_dir)).join(reports.report_replies(spark, sf_dir), "document_id")
+    return replies.merged_facts(chunks).select(*_MERGED)
+
+
+@query(
+    sql.RELATIONS
+    + """ SELECT id, CASE instr('0123456789abcdef', id[1]) % 4 WHEN 0 THEN 'UNRELATED' ELSE type END AS type,
+ CASE instr('0123456789abcdef', id[1]) % 4 WHEN 0 THEN 0.5 WHEN 1 THEN round(least(0.98::DOUBLE, greatest(0.4::DOUBLE, 0.5::DOUBLE * 0.4 + confidence * 0.6::DOUBLE)), 3) ELSE confidence END AS confidence FROM relationships"""
+)
+def model_opinions(spark, sf_dir):
+    """Relationships with a model's opinion joined in: one pair in four is called unrelated, one gets an opinion on its own type,
+    one an answer that cannot be read, one none."""
+    k = F.position(F.substring("id", 1, 1), F.lit("0123456789abcdef")) % 4
+    reply = F.when(k == 0, '{"relationship_type": "unrelated"}').when(k == 1, F.to_json(F.struct(F.lower("type").alias("relationship_type"), F.lit(0.5).alias("confidence")))).when(k == 2, "no opinion")
+    return replies.with_opinions(ledger.relationships(spark, sf_dir).withColumn("reply", reply)).select("id", "type", "confidence")
+
+
 @query()
 def extract_heuristic(spark, sf_dir):
     """Rule extraction over whole documents, each with report lines made from the business tables: the ledgers' lines are dealt to

@@ -58,6 +58,17 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_of(spark, sf_dir).select(F.col("key").alias("document_id"), F.lit(1).alias("page_number"), text.alias("text")).repartition("document_id")  # the patterns cost more than the shuffle; a small scan would be one task
 
 
+def report_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, reply): what a model might answer to each report, by the order's key: a fact in a fenced block, a metric in
+    the subject's place without a quote, no JSON, no facts, and no answer."""
+    plain = F.struct(F.col("c_name").alias("subject"), F.lit("Revenue").alias("predicate"), _filled("${amount}").alias("value"), F.lit("financial_metric").alias("fact_type"), F.col("fy").alias("period"), _chosen(FINANCIAL).alias("evidence_quote"))
+    turned = F.struct(F.lit("EBITDA").alias("subject"), F.lit("Value").alias("predicate"), F.col("quantity").alias("value"), F.lit("figure").alias("fact_type"), F.lit("n/a").alias("period"), F.lit("").alias("evidence_quote"))
+    said = lambda fact: F.to_json(F.struct(F.array(fact).alias("facts")))
+    k = F.col(_K) % 5
+    reply = F.when(k == 0, F.concat(F.lit("```json\n"), said(plain), F.lit("\n```"))).when(k == 1, said(turned)).when(k == 2, "I found no facts {").when(k == 3, '{"facts": []}')
+    return orders_of(spark, sf_dir).select(F.col("key").alias("document_id"), reply.alias("reply"))
+
+
 # --- the same in SQL: what must be found ----------------------------------------------------------------------------------
 
 
@@ -103,3 +114,18 @@ INGESTED_SQL = f"""
 scored AS (SELECT *, {quality("subject", "predicate", "value", "evidence_quote", "period", "(coalesce(unit, currency) IS NOT NULL)")} AS quality_score FROM found),
 judged AS (SELECT *, {reason("subject", "predicate", "value", "evidence_quote", "quality_score", "page_text")} AS rejection_reason FROM scored),
 valued AS (SELECT *, {value_columns("value")} FROM judged)"""
+
+#: The replies' facts, of the form that the cleaning gives them, before the rules' others.
+REPLIES_SQL = r"""
+replied AS (
+  SELECT key AS document_id, c_name AS subject, 'Revenue' AS predicate, '$' || amount AS value, 'financial_metric' AS fact_type, fy AS period, s0 AS evidence_quote FROM reports WHERE o_orderkey % 5 = 0
+  UNION ALL
+  SELECT key, 'Infosys', 'EBITDA', quantity, 'numerical_metric', NULL,
+         regexp_replace(coalesce(nullif(regexp_extract(page_text, '[^.?!]*?' || regexp_escape(quantity[:10]) || '[^.?!]*?[.?!]'), ''), page_text[:200]), '^\s+|\s+$', '', 'g') FROM reports WHERE o_orderkey % 5 = 1
+),
+merged AS (
+  SELECT *, TRUE AS from_model FROM replied
+  UNION ALL
+  SELECT f.document_id, f.subject, f.predicate, f.value, f.fact_type, f.period, f.evidence_quote, FALSE FROM found f
+  ANTI JOIN replied r ON f.document_id = r.document_id AND lower(f.subject) = lower(r.subject) AND lower(f.predicate) = lower(r.predicate) AND lower(f.value) = lower(r.value)
+)"""
