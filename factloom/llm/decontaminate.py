@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed terms over all documents.
-2. A randomised SVD of TF-IDF passages: the benchmark's passages, and windows of a hash-chosen share of the distinct
-   documents (about FIT_PASSAGES: the index is fitted on this bounded sample; both halves weigh alike). The products with the
-   passage matrix run on the executors and are summed by term; the driver holds matrices of 2^BITS x (RANK + EXTRA) only.
+1. The distinct texts as hashed terms, each with its number of copies; from them the terms' document frequencies over all
+   documents.
+2. A randomised SVD of TF-IDF passages: the benchmark's passages, and all windows of all distinct texts (both halves weigh
+   alike; nothing is sampled), in two passes: one finds the space, one its best directions. The products with the passage
+   matrix run on the executors and are summed there; the driver holds matrices of 2^BITS x (RANK + EXTRA) only.
 3. Every window of every document is projected; windows come in two lengths, in steps that let each passage of up to SPAN
    words lie wholly in one. A window is a candidate for a passage if their cosine passes a bound set by the passage's share
    of the window, and the window's projection holds at least PART of the passage's in its direction. Both bounds lie well
@@ -36,16 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialise, partitions, unused
+from factloom.llm.common import materialise, unused
 
-BITS, RANK, EXTRA, TURNS = 16, 64, 16, 2
+BITS, RANK, EXTRA = 16, 64, 16
 BLOCK = 16
 WINDOWS = ((3, 1), (6, 2))  # blocks in a window, blocks between windows
-SPAN, LEAST, PASSAGES, FIT_PASSAGES = 64, 6, 4096, 20_000
+SPAN, LEAST, PASSAGES = 64, 6, 4096
 KEEP = 0.08  # of the cosine that a passage lying in a window must reach by its share of the window
 PART = 0.28  # of a passage's own projection that a window's must hold in its direction
 STRICT, LOOSE = 0.75, 0.5
-AT_ONCE = 200_000  # tokens looked at together, one document at least
+AT_ONCE, FIT_AT_ONCE = 200_000, 800_000  # tokens looked at together, in the search and in the fit, one document at least
 MATCH = "array<struct<item_id:long,cosine:double,lcs:double,rarity:double,answer:double>>"
 
 _TOKENS = re.compile(r"\w+")
@@ -76,24 +77,33 @@ def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, float]:
-    """How many documents have each hashed term, how many documents there are, and about how many windows of SPAN words."""
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(terms, copies): the different ones of the rows' only column, the texts' hashed words, and how many rows have each."""
+    return materialise(rows.toDF("terms").groupBy("terms").agg(F.count("*").alias("copies")), "texts")
+
+
+def document_frequencies(docs: DataFrame, texts: DataFrame | None = None) -> tuple[np.ndarray, int, int]:
+    """How many documents have each hashed term, how many documents there are, and how many windows of SPAN words the distinct
+    texts have. texts: the distinct texts of docs, where they are known already."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((1 << BITS) + 2, np.int64)
         for batch in batches:
             ids, starts = flat(batch.column(0))
-            seen[:-2] += np.bincount(ids, minlength=1 << BITS)
-            seen[-2] += len(starts) - 1
-            seen[-1] += pc.sum(batch.column(1)).as_py() or 0
+            copies, sizes = batch.column(1).to_numpy(), np.diff(starts)
+            # a document counts once for a term: the distinct pairs of text and term
+            text, term = np.divmod(distinct(np.repeat(np.arange(len(sizes)) << BITS, sizes) | ids)[0], 1 << BITS)
+            seen[:-2] += np.bincount(term, copies[text], 1 << BITS).astype(np.int64)
+            seen[-2] += copies.sum()
+            seen[-1] += (-(-sizes // SPAN)).sum()
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
     df = np.zeros((1 << BITS) + 2, np.int64)
-    spaces = F.coalesce(F.octet_length("text"), F.lit(0)) / (6 * SPAN) + 1  # windows, at six bytes a word
-    for r in docs.select(F.array_distinct(term_arrays(F.col("text"))), spaces.cast("long")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    texts = distinct_texts(docs.select(term_arrays(F.col("text")))) if texts is None else texts
+    for r in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r.term] = r.n
-    return df[:-2], int(df[-2]), float(df[-1])
+    return df[:-2], int(df[-2]), int(df[-1])
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
@@ -127,72 +137,126 @@ def passages_of(benchmark: DataFrame) -> DataFrame:
 # --- the latent space -----------------------------------------------------------------------------------------------------
 
 
-def _row(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ids, times = np.unique(ids, return_counts=True)
-    weights = times * idf[ids]
-    norm = float(np.linalg.norm(weights)) or 1.0
-    return ids, (weights / norm).astype(np.float32)
-
-
-def latent_space(docs: DataFrame, n_windows: float, passages: list[list[str]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (terms x RANK) and singular values of the passage matrix."""
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and how often each occurs."""
+    keys = np.sort(keys)
+    begin = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[begin], np.diff(begin, append=len(keys))
+
+
+def window_rows(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' windows of SPAN words, end to end: the number of each one's window, the term and the weight, each window of
+    length 1 and its terms in ascending order."""
+    sizes = np.diff(starts)
+    first = np.concatenate([[0], np.cumsum(-(-sizes // SPAN))])[:-1]  # the number of each text's first window
+    window = np.repeat(first, sizes) + (np.arange(len(ids)) - np.repeat(starts[:-1], sizes)) // SPAN
+    keys, times = distinct(window << BITS | ids)
+    window, term = keys >> BITS, keys & ((1 << BITS) - 1)
+    weights = times * idf[term]
+    norms = np.sqrt(np.bincount(window, weights * weights))
+    return window, term, (weights / np.maximum(norms, 1e-12)[window]).astype(np.float32)
+
+
+def summed(rows: np.ndarray, at: np.ndarray, weights: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The weighted sums of rows[at], runs of which begin at `begin`. Long runs are multiplied one by one; the k-th members of
+    all others that have as many are added at once."""
+    size = np.diff(begin, append=len(at))
+    longest = np.argsort(-size, kind="stable")
+    begin, size = begin[longest], size[longest]
+    added = np.zeros((len(begin), rows.shape[1]), np.float32)
+    long = int(np.count_nonzero(size > BLOCK))
+    for i, (a, n) in enumerate(zip(begin[:long].tolist(), size[:long].tolist())):
+        added[i] = weights[a : a + n] @ rows[at[a : a + n]]
+    for k in range(BLOCK):
+        m = int(np.count_nonzero(size > k))
+        which = begin[long:m] + k
+        added[long:m] += rows[at[which]] * weights[which, None]
+    out = np.empty_like(added)
+    out[longest] = added
+    return out
+
+
+def cuts(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """window_rows of some texts after others, as many as make up FIT_AT_ONCE words, one at least."""
+    first = 0
+    while first < len(starts) - 1:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + FIT_AT_ONCE, "right")) - 1)
+        if starts[last] > starts[first]:
+            yield window_rows(ids[starts[first] : starts[last]], starts[first : last + 1] - starts[first], idf)
+        first = last
+
+
+def product(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, start: tuple[np.ndarray, np.ndarray], into: np.ndarray, lift: float = 1.0) -> None:
+    """Add A' A w to `into`, A the windows of some texts, each times lift, w with one value a term: its column and its sign."""
+    (column, sign), width = start, into.shape[1]
+    for window, term, weights in cuts(ids, starts, idf):
+        y = np.bincount(window * width + column[term], weights * sign[term], (int(window[-1]) + 1) * width).reshape(-1, width).astype(np.float32)
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        term = term[order]
+        begin = np.flatnonzero(np.diff(term, prepend=-1))
+        into[term[begin]] += lift * lift * summed(y, window[order], weights[order], begin)
+
+
+def square(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(A w)' A w, A the windows of some texts."""
+    out = np.zeros((w.shape[1], w.shape[1]))
+    for window, term, weights in cuts(ids, starts, idf):
+        y = summed(w, term, weights, np.flatnonzero(np.diff(window, prepend=-1)))
+        out += y.T @ y
+    return out
+
+
+def latent_space(docs: DataFrame, n_windows: float, passages: list[list[str]], idf: np.ndarray, texts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (terms x RANK) and singular values of the passage matrix: all windows of all distinct texts, and
+    the passages, so lifted that both weigh alike. texts: the distinct texts of docs, where they are known already."""
     spark, rng = docs.sparkSession, np.random.default_rng(4)
-    weights = spark.sparkContext.broadcast(idf)
-    share = min(1.0, FIT_PASSAGES / max(1.0, n_windows))
+    texts = distinct_texts(docs.select(term_arrays(F.col("text")))) if texts is None else texts
+    start = rng.integers(0, RANK + EXTRA, 1 << BITS), rng.choice(np.array([-1, 1], np.float32), 1 << BITS)
+    sent = spark.sparkContext.broadcast((idf, start))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = np.zeros((1 << BITS, RANK + EXTRA), np.float32)
         for batch in batches:
-            rows = []
-            ids, starts = flat(batch.column(0))
-            for begin, end in zip(starts.tolist(), starts[1:].tolist()):
-                rows += [_row(ids[a : min(a + SPAN, end)], weights.value) for a in range(begin, end, SPAN)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["terms", "weights"])
-
-    chosen = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
-    corpus = materialise(chosen.repartition(partitions(spark)).select(term_arrays(F.col("text"))).mapInArrow(sample, "terms array<long>, weights array<float>"), "windows")
-    lift = float(np.sqrt(max(1, corpus.count()) / max(1, len(passages))))
-    own = [(ids.tolist(), (w * lift).tolist()) for ids, w in (_row(term_ids(p), idf) for p in passages)]
-    matrix = corpus.unionByName(spark.createDataFrame(own, "terms array<long>, weights array<float>"))
-
-    def times(w: np.ndarray) -> np.ndarray:
-        """A' A w, A the passage matrix: each task adds up its passages' part, the parts are summed by term."""
-        sent = spark.sparkContext.broadcast(w)
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, out = sent.value, {}
-            for batch in batches:
-                for ids, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    x = np.asarray(x, np.float32)
-                    y = x @ w[ids]
-                    for i, v in zip(ids, x.tolist()):
-                        if i in out:
-                            out[i] += v * y
-                        else:
-                            out[i] = v * y
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["term", "part"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = {}
-            for batch in batches:
-                for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    v = np.frombuffer(v, np.float32)
-                    out[i] = out[i] + v if i in out else v
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["term", "part"])
-
-        z = np.zeros_like(w)
-        for r in matrix.mapInArrow(part, "term long, part binary").repartition("term").mapInArrow(add, "term long, part binary").toLocalIterator():
-            z[r.term] = np.frombuffer(r.part, np.float32)
-        sent.unpersist()
-        return z
-
-    w = rng.standard_normal((1 << BITS, RANK + EXTRA)).astype(np.float32)
-    for _ in range(TURNS):
-        w = np.linalg.qr(times(w))[0].astype(np.float32)
-    square, turn = np.linalg.eigh((w.T @ times(w)).astype(np.float64))
-    best = np.argsort(-square)[:RANK]
-    return (w @ turn[:, best]).astype(np.float32), np.sqrt(np.maximum(square[best], 0))
+            product(*flat(batch.column(0)), *sent.value, z)
+        at = np.flatnonzero(z.any(1))
+        for a in range(0, len(at), 4096):
+            few = at[a : a + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(few), pa.array([v.tobytes() for v in z[few]], pa.binary())], ["term", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                v = np.frombuffer(v, np.float32)
+                out[i] = out[i] + v if i in out else v
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["term", "part"])
+
+    # A' A w, A the passage matrix: each task adds up its texts' part, the parts are summed by term
+    z = np.zeros((1 << BITS, RANK + EXTRA), np.float32)
+    for r in texts.select("terms").mapInArrow(part, "term long, part binary").repartition("term").mapInArrow(add, "term long, part binary").toLocalIterator():
+        z[r.term] = np.frombuffer(r.part, np.float32)
+    lift = float(np.sqrt(max(1, n_windows) / max(1, len(passages))))
+    own = np.concatenate([term_ids(p) for p in passages]), np.concatenate([[0], np.cumsum([len(p) for p in passages])])  # one block's
+    product(*own, idf, start, z, lift)
+    w = np.linalg.qr(z)[0].astype(np.float32)
+    held = spark.sparkContext.broadcast(w)
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((RANK + EXTRA, RANK + EXTRA))
+        for batch in batches:
+            out += square(*flat(batch.column(0)), sent.value[0], held.value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["at", "x"])
+
+    # the best directions of that space and how much of all windows they hold
+    total = (lift * lift * square(*own, idf, w)).ravel()
+    for r in texts.select("terms").mapInArrow(squares, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toLocalIterator():
+        total[r.at] += r.x
+    sent.unpersist()
+    held.unpersist()
+    values, turn = np.linalg.eigh(total.reshape(RANK + EXTRA, -1))
+    best = np.argsort(-values)[:RANK]
+    return (w @ turn[:, best]).astype(np.float32), np.sqrt(np.maximum(values[best], 0))
 
 
 # --- words ----------------------------------------------------------------------------------------------------------------
@@ -331,17 +395,20 @@ class Judge:
 def with_matches(docs: DataFrame, benchmark: DataFrame, to: str = "matches", per_block: int = PASSAGES) -> DataFrame:
     """docs (with a text) and a column `to`: the benchmark items (item_id, text) found in it, with the scores that confirmed them."""
     spark, docs = docs.sparkSession, docs.drop(to)
-    df, n, windows = document_frequencies(docs)
+    terms = unused(docs, "terms")[0]
+    # written once, for cutting texts into words costs more than reading the words again
+    ready = materialise(docs.withColumn(terms, term_arrays(F.col("text"))), "terms")
+    texts = distinct_texts(ready.select(terms))
+    df, n, windows = document_frequencies(ready, texts)
     idf, known = idf_of(df, n), passages_of(benchmark)
     blocks = max(1, -(-known.count() // per_block))
-    terms = unused(docs, "terms")[0]
-    out = docs.withColumns({to: F.array().cast(MATCH), terms: term_arrays(F.col("text"))})
+    out = ready.withColumn(to, F.array().cast(MATCH))
     for b in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b).orderBy("item_id", "passage").collect()  # about per_block
         passages = [(r.item_id, r.passage.split(" ")) for r in rows]
         if not passages or not n:
             continue
-        basis, values = latent_space(docs, windows, [w for _, w in passages], idf)
+        basis, values = latent_space(ready, windows, [w for _, w in passages], idf, texts)
         sent = spark.sparkContext.broadcast((passages, idf, basis, values))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -514,6 +514,49 @@ def test_token_counts(spark):
     assert tokens.count_tokens(odd.limit(0), tokens.MODEL, ["doc_id"]).count() == 0
 
 
+def test_latent_space_is_fitted_on_all_texts(spark, monkeypatch):
+    """The products and frequencies of all windows against a plain matrix: changing any one text changes the fit; copies count
+    in the frequencies and once in the fit."""
+    monkeypatch.setattr(decontaminate, "FIT_PASSAGES", 4, raising=False)  # a fit on about so many windows would differ
+    text = vocabulary(random.Random(16), 500)
+    rows = [(i, text(40 + 9 * i), "s") for i in range(30)]
+    rows = docs(spark, rows + [(100, rows[0][1], "s"), (101, None, "s"), (102, "", "s")])
+    passages = [text(20).split() for _ in range(3)]
+    df, n, windows = decontaminate.document_frequencies(rows)
+    plain = np.zeros(1 << decontaminate.BITS, int)
+    texts = [decontaminate.tokens(r.text) for r in rows.collect()]
+    for words in texts:
+        plain[list({decontaminate.term(w) for w in words})] += 1
+    cut = [w[a : a + decontaminate.SPAN] for w in {tuple(w) for w in texts} for a in range(0, len(w), decontaminate.SPAN)]
+    assert n == 33 and (df == plain).all() and windows == len(cut)
+    idf = decontaminate.idf_of(df, n)
+    matrix = np.zeros((len(cut) + len(passages), 1 << decontaminate.BITS))
+    for row, words in zip(matrix, cut + passages):
+        np.add.at(row, decontaminate.term_ids(words), 1)
+    matrix *= idf
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    matrix[len(cut) :] *= np.sqrt(windows / len(passages))
+    basis, values = decontaminate.latent_space(rows, windows, passages, idf)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+    # nearly all that the best directions of the whole matrix hold is in the space
+    best = np.linalg.svd(matrix, compute_uv=False)[: decontaminate.RANK]
+    assert (np.linalg.norm(matrix @ basis) / np.linalg.norm(best)) ** 2 > 0.85
+    every = np.linalg.norm(matrix[: len(cut)] @ basis, axis=1)
+    assert (every > 0.1).all()  # a window left out of the fit would hardly lie in the space of the others
+    # the product with all windows, exactly
+    rng = np.random.default_rng(5)
+    start = rng.integers(0, 8, 1 << decontaminate.BITS), rng.choice(np.array([-1, 1], np.float32), 1 << decontaminate.BITS)
+    w = np.zeros((1 << decontaminate.BITS, 8))
+    w[np.arange(len(w)), start[0]] = start[1]
+    ids = [decontaminate.term_ids(list(x)) for x in {tuple(w) for w in texts}]
+    got = np.zeros((1 << decontaminate.BITS, 8), np.float32)
+    decontaminate.product(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])]), idf, start, got)
+    held = rng.standard_normal((1 << decontaminate.BITS, 8)).astype(np.float32)
+    flat = np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    assert np.allclose(decontaminate.square(*flat, idf, held), (matrix[: len(cut)] @ held).T @ (matrix[: len(cut)] @ held), rtol=1e-3, atol=1e-2)
+    assert np.allclose(got, matrix[: len(cut)].T @ (matrix[: len(cut)] @ w), atol=1e-3)
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------------
 
 
