@@ -29,7 +29,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -94,7 +93,8 @@ REMEMBERED, LONG = 200_000, 64
 
 
 class Tokens(dict):
-    """The number of each token's row in a table of what is known of it; every token is described once while remembered."""
+    """The number of each token's row in a table of what is known of it; every token is described once while remembered. Tokens
+    that are one word on no list, nearly all, share one row for each length: a worker's memory then holds little but their names."""
 
     def __init__(self, learned: dict[str, float], remembered: int = REMEMBERED):
         super().__init__()
@@ -105,7 +105,8 @@ class Tokens(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.table, self.new = np.zeros((4096, len(COUNTED))), []
+        self.table, self.new, self.filled = np.zeros((4096, len(COUNTED))), [], 0
+        self.usual: dict[int, int] = {}  # the row of the usual tokens of each length
         self.telling: dict[int, tuple[list[tuple[int, int, str]], list[str]]] = {}  # listed words with their place and kind, learned words
 
     def weight(self, word: str) -> float:
@@ -124,25 +125,29 @@ class Tokens(dict):
         return row, listed, [w for _, w in told]
 
     def __missing__(self, token: str) -> int:
-        number = self[token] = len(self)
         word = token[:-1] if token[-1] in ",.;:" else token
+        number = self.filled + len(self.new)
         if word.isalpha() and word.islower() and word[:4] not in self.heads:  # the usual case: one word that is on no list
-            self.new.append((1, len(word), 0, 0, 0, 0, 0, 0, 0, 0, 0))
+            number = self.usual.setdefault(len(word), number)
+            if number == self.filled + len(self.new):
+                self.new.append((1, len(word), 0, 0, 0, 0, 0, 0, 0, 0, 0))
         else:
             row, listed, told = self.describe(token)
             self.new.append(row)
             if listed or told:
                 self.telling[number] = listed, told
+        self[token] = number
         return number
 
     def rows(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of tokens and their rows."""
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         if self.new:
-            while len(self) > len(self.table):
+            most = self.filled + len(self.new)
+            while most > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[len(self) - len(self.new) : len(self)] = self.new
-            self.new = []
+            self.table[self.filled : most] = self.new
+            self.new, self.filled = [], most
         return at, self.table[at]
 
 
@@ -194,11 +199,14 @@ def described(rows: DataFrame, lists: dict[int, dict[str, float]], which: Column
 
     n_lists = len(lists)
 
-    @F.pandas_udf("array<double>")
-    def extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def extract(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = {k: Tokens(v, REMEMBERED // n_lists) for k, v in sent.value.items()}
         for texts, names in batches:
-            yield pd.Series([[float(x) for x in features(t, known[k])] for t, k in zip(texts.tolist(), names.tolist())])
+            out = np.empty((len(texts), len(FEATURES)))  # a batch's texts become strings one at a time
+            for i, (t, k) in enumerate(zip(texts, names)):
+                out[i] = features(t.as_py(), known[k.as_py()])
+            yield pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(FEATURES), out.ravel())
 
     return rows.withColumn("features", extract("text", which))
 

@@ -574,6 +574,19 @@ def plain_features(text):
     }
 
 
+def test_remembered_tokens_take_little_memory():
+    """Words on no list share a row for each length, whatever their number; features are those of tokens described apart."""
+    rng = random.Random(17)
+    text = " ".join("".join(rng.choice("bcdfgklmnprst") for _ in range(rng.randint(5, 12))) + rng.choice(["", ",", "!"]) for _ in range(60_000)) + " you idiot"
+    known = toxicity.Tokens({"glarn$": 2.0})
+    got = toxicity.features(text, known)
+    assert len(known) > 50_000 and known.table.nbytes < 0.6 * len(known) * len(toxicity.COUNTED) * 8
+    rows = np.array([known.describe(t)[0] for t in text.split()])
+    assert (known.rows(text.split())[1] == rows).all()
+    forgetful = toxicity.Tokens({"glarn$": 2.0}, 1)
+    assert got == toxicity.features(text, forgetful) == toxicity.features(text, known)
+
+
 def test_features():
     plain = toxicity.Tokens({})
     assert toxicity.features(None, plain) == toxicity.features("", plain) == toxicity.features(" \n", plain) == [0.0] * len(toxicity.FEATURES)
