@@ -28,12 +28,14 @@ empty benchmark or empty documents give an empty result. The column for the matc
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,35 +48,96 @@ SPAN, LEAST, PASSAGES = 64, 6, 4096
 KEEP = 0.08  # of the cosine that a passage lying in a window must reach by its share of the window
 PART = 0.28  # of a passage's own projection that a window's must hold in its direction
 STRICT, LOOSE = 0.75, 0.5
-AT_ONCE, FIT_AT_ONCE = 200_000, 800_000  # tokens looked at together, in the search and in the fit, one document at least
+AT_ONCE, FIT_AT_ONCE = 200_000, 200_000  # tokens looked at together, in the search and in the fit, one document at least
+ROWS, TERMS = 2000, 1024  # rows that the search returns together, terms whose parts of a product travel together
+LETTERS, MIX = 1_000_000, np.uint64(0x9E3779B97F4A7C15)  # bytes or letters cut into words together, one word at least; an odd number
 MATCH = "array<struct<item_id:long,cosine:double,lcs:double,rarity:double,answer:double>>"
 
-_TOKENS = re.compile(r"\w+")
+_TOKENS, _BREAK = re.compile(r"\w+"), re.compile(r"\W")
 
 
 def tokens(text: str | None) -> list[str]:
     return _TOKENS.findall(text.lower()) if text else []
 
 
+@cache
+def word_letters() -> np.ndarray:
+    """Whether a code point belongs to words, as tokens() has it."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in _TOKENS.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def hashed(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The terms of words, given by their code points end to end and their lengths: a polynomial in the code points, mixed."""
+    if not len(sizes):
+        return np.zeros(0, np.uint16)
+    begin = np.cumsum(sizes) - sizes
+    powers = np.cumprod(np.full(sizes.max(), MIX, np.uint64))
+    sums = np.add.reduceat(letters * powers[np.arange(len(letters)) - np.repeat(begin, sizes)], begin)
+    return ((sums ^ sums >> np.uint64(32)) * MIX >> np.uint64(64 - BITS)).astype(np.uint16)
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all texts' words end to end, and how many each text has."""
+    texts = texts.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    terms, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    for first, last in runs(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), LETTERS):
+        own = [(t.as_py() or b"").decode("utf-8", "replace").lower() for t in texts[first:last]]
+        ends = np.cumsum([len(t) + 1 for t in own])
+        at, own = 0, "\n".join(own)
+        words = np.zeros(len(ends), np.int64)  # in the texts up to each
+        while at < len(own):  # a long text goes in parts that end between words
+            stop = _BREAK.search(own, at + LETTERS)
+            end = stop.end() if stop else len(own)
+            letters = np.frombuffer(own[at:end].encode("utf-32-le"), np.uint32)
+            inside = word_letters()[letters]
+            edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+            terms.append(hashed(letters[inside], edges[1::2] - edges[::2]))
+            words += np.searchsorted(edges[::2] + at, ends)
+            at = end
+        counts.append(np.diff(words, prepend=0))
+    return np.concatenate(terms), np.concatenate(counts)
+
+
 def term_arrays(text: Column) -> Column:
-    """The hashed ids of a text's words, in order."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
+    """The hashed ids of a text's words, in order, each as a short of either sign: the same words that tokens() cuts."""
 
+    @F.arrow_udf("array<smallint>")
+    def terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ids, counts = cut(batch)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.view(np.int16)))
 
-def term(word: str) -> int:
-    """The same for one word."""
-    return xxhash.xxh64_intdigest(word.encode(), 42) & ((1 << BITS) - 1)
+    return terms(text)
 
 
 def term_ids(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(term, words), np.int64, len(words))
+    """The hashed ids of words."""
+    return hashed(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, words), np.int64, len(words))).astype(np.int64)
+
+
+def term(word: str) -> int:
+    """The same for one word."""
+    return int(term_ids([word])[0])
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """A batch's ids end to end, and where each document's begin."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    return ids.view(np.uint16) if ids.dtype == np.int16 else ids, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def runs(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of some documents after others, as many as make up `most` words, one at least; last is not among them."""
+    first = 0
+    while first < len(starts) - 1:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + most, "right")) - 1)
+        yield first, last
+        first = last
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
@@ -82,6 +145,14 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return materialise(rows.toDF("terms").groupBy("terms").agg(F.count("*").alias("copies")), "texts")
 
 
+def count_terms(ids: np.ndarray, starts: np.ndarray, copies: np.ndarray, into: np.ndarray) -> None:
+    """Add to `into` how many of some texts' copies have each term."""
+    for first, last in runs(starts, FIT_AT_ONCE):
+        # a document counts once for a term: the distinct pairs of text and term
+        pairs = distinct(np.repeat(np.arange(first, last) << BITS, np.diff(starts[first : last + 1])) | ids[starts[first] : starts[last]])[0]
+        into += np.bincount(pairs & ((1 << BITS) - 1), copies[pairs >> BITS], 1 << BITS).astype(np.int64)
+
+
 def document_frequencies(docs: DataFrame, texts: DataFrame | None = None) -> tuple[np.ndarray, int, int]:
     """How many documents have each hashed term, how many documents there are, and how many windows of SPAN words the distinct
     texts have. texts: the distinct texts of docs, where they are known already."""
@@ -90,12 +161,10 @@ def document_frequencies(docs: DataFrame, texts: DataFrame | None = None) -> tup
         seen = np.zeros((1 << BITS) + 2, np.int64)
         for batch in batches:
             ids, starts = flat(batch.column(0))
-            copies, sizes = batch.column(1).to_numpy(), np.diff(starts)
-            # a document counts once for a term: the distinct pairs of text and term
-            text, term = np.divmod(distinct(np.repeat(np.arange(len(sizes)) << BITS, sizes) | ids)[0], 1 << BITS)
-            seen[:-2] += np.bincount(term, copies[text], 1 << BITS).astype(np.int64)
+            copies = batch.column(1).to_numpy()
+            count_terms(ids, starts, copies, seen[:-2])
             seen[-2] += copies.sum()
-            seen[-1] += (-(-sizes // SPAN)).sum()
+            seen[-1] += (-(-np.diff(starts) // SPAN)).sum()
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["term", "n"])
 
@@ -178,12 +247,9 @@ def summed(rows: np.ndarray, at: np.ndarray, weights: np.ndarray, begin: np.ndar
 
 def cuts(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """window_rows of some texts after others, as many as make up FIT_AT_ONCE words, one at least."""
-    first = 0
-    while first < len(starts) - 1:
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + FIT_AT_ONCE, "right")) - 1)
+    for first, last in runs(starts, FIT_AT_ONCE):
         if starts[last] > starts[first]:
             yield window_rows(ids[starts[first] : starts[last]], starts[first : last + 1] - starts[first], idf)
-        first = last
 
 
 def product(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, start: tuple[np.ndarray, np.ndarray], into: np.ndarray, lift: float = 1.0) -> None:
@@ -206,36 +272,57 @@ def square(ids: np.ndarray, starts: np.ndarray, idf: np.ndarray, w: np.ndarray)
     return out
 
 
-def latent_space(docs: DataFrame, n_windows: float, passages: list[list[str]], idf: np.ndarray, texts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (terms x RANK) and singular values of the passage matrix: all windows of all distinct texts, and
-    the passages, so lifted that both weigh alike. texts: the distinct texts of docs, where they are known already."""
-    spark, rng = docs.sparkSession, np.random.default_rng(4)
-    texts = distinct_texts(docs.select(term_arrays(F.col("text")))) if texts is None else texts
-    start = rng.integers(0, RANK + EXTRA, 1 << BITS), rng.choice(np.array([-1, 1], np.float32), 1 << BITS)
-    sent = spark.sparkContext.broadcast((idf, start))
+PART_OF_PRODUCT = "block long, at binary, part binary"  # a block's first term, which of its terms have a row, these rows
+
+
+def rows_of(block: int, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a block of terms that are not zero."""
+    at = np.flatnonzero(z.any(1)).astype(np.int32)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([z[at].tobytes()], pa.binary())], ["block", "at", "part"])
+
+
+def products(texts: DataFrame, sent: Broadcast) -> DataFrame:
+    """Each task's part of A' A w, A the windows of all texts, in blocks of terms; sent: weights and w. A part is as large as the
+    whole product however few texts it comes from, so there are as many as there are cores, not as many as there are files."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.zeros((1 << BITS, RANK + EXTRA), np.float32)
         for batch in batches:
             product(*flat(batch.column(0)), *sent.value, z)
-        at = np.flatnonzero(z.any(1))
-        for a in range(0, len(at), 4096):
-            few = at[a : a + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(few), pa.array([v.tobytes() for v in z[few]], pa.binary())], ["term", "part"])
+        for block in range(0, 1 << BITS, TERMS):
+            yield from rows_of(block, z[block : block + TERMS])
+
+    return texts.select("terms").coalesce(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(part, PART_OF_PRODUCT)
+
+
+def summed_parts(parts: DataFrame) -> DataFrame:
+    """The sums of the tasks' parts."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = {}
+        out: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.frombuffer(v, np.float32)
-                out[i] = out[i] + v if i in out else v
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v.tobytes() for v in out.values()], pa.binary())], ["term", "part"])
+            for block, at, v in zip(*batch.columns):
+                z = out.setdefault(block.as_py(), np.zeros((TERMS, RANK + EXTRA), np.float32))
+                z[np.frombuffer(at.as_py(), np.int32)] += np.frombuffer(v.as_py(), np.float32).reshape(-1, RANK + EXTRA)
+        for block, z in out.items():
+            yield from rows_of(block, z)
 
-    # A' A w, A the passage matrix: each task adds up its texts' part, the parts are summed by term
+    return parts.repartition("block").mapInArrow(add, PART_OF_PRODUCT)
+
+
+def latent_space(docs: DataFrame, n_windows: float, passages: list[list[str]], idf: np.ndarray, texts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (terms x RANK) and singular values of the passage matrix: all windows of all distinct texts, and
+    the passages, so lifted that both weigh alike. texts: the distinct texts of docs, where they are known already."""
+    spark, rng = docs.sparkSession, np.random.default_rng(4)
+    texts = distinct_texts(docs.select(term_arrays(F.col("text")))) if texts is None else texts
+    start = rng.integers(0, RANK + EXTRA, 1 << BITS), rng.choice(np.array([-1, 1], np.float32), 1 << BITS)
+    sent = spark.sparkContext.broadcast((idf, start))
+
+    # A' A w, A the passage matrix
     z = np.zeros((1 << BITS, RANK + EXTRA), np.float32)
-    for r in texts.select("terms").mapInArrow(part, "term long, part binary").repartition("term").mapInArrow(add, "term long, part binary").toLocalIterator():
-        z[r.term] = np.frombuffer(r.part, np.float32)
+    for r in summed_parts(products(texts, sent)).toLocalIterator():
+        z[r.block + np.frombuffer(r.at, np.int32)] = np.frombuffer(r.part, np.float32).reshape(-1, RANK + EXTRA)
     lift = float(np.sqrt(max(1, n_windows) / max(1, len(passages))))
     own = np.concatenate([term_ids(p) for p in passages]), np.concatenate([[0], np.cumsum([len(p) for p in passages])])  # one block's
     product(*own, idf, start, z, lift)
@@ -276,6 +363,11 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def answer_size(passage: list[str]) -> int:
+    """How many of a passage's last words are its answer (all, where it has fewer)."""
+    return max(4, len(passage) // 4)
+
+
 class Judge:
     """The passages of one block of items with their projections, and the test of documents against them."""
 
@@ -283,7 +375,7 @@ class Judge:
         self.passages = passages
         scale = np.where(values > 1e-3 * max(values.max(initial=0), 1e-9), 1 / np.maximum(values, 1e-9), 0)
         self.table = ((basis * scale.astype(np.float32)) * idf[:, None]).astype(np.float32)
-        self.weights = [{w: float(idf[term(w)]) for w in words} for _, words in passages]
+        self.weights = [dict(zip(words, idf[term_ids(words)].tolist())) for _, words in passages]
         self.rarity, self.idf = np.array([sum(own.values()) or 1.0 for own in self.weights]), idf
         q = np.stack([self.table[term_ids(w)].sum(0) for _, w in passages])
         length = np.linalg.norm(q, axis=1)
@@ -296,19 +388,34 @@ class Judge:
             t = term_ids(w)
             np.bitwise_or.at(held[j], t >> 3, (1 << (t & 7)).astype(np.uint8))
         self.holds, self.enough = held, LOOSE * lengths
+        # the places of a passage at which a term stands, a bit each, by passage and term; and the places of its answer
+        keys = np.concatenate([j << BITS | term_ids(w) for j, (_, w) in enumerate(passages)])
+        places = np.concatenate([np.uint64(1) << np.arange(len(w), dtype=np.uint64) for _, w in passages])
+        order = np.argsort(keys, kind="stable")
+        begin = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        self.keys, self.places = keys[order][begin], np.bitwise_or.reduceat(places[order], begin)
+        self.ends = np.array([sum(1 << k for k in range(len(w))[-answer_size(w) :]) for _, w in passages], np.uint64)
+        whole = lengths < LEAST
+        self.loose, self.strict = np.where(whole, lengths, LOOSE * lengths), np.where(whole, lengths, STRICT * lengths)
+        self.answer = STRICT * np.bitwise_count(self.ends)
         self.least = [(KEEP * np.sqrt(np.minimum(1, lengths / (n * BLOCK)))).astype(np.float32) for n, _ in WINDOWS]
 
     def share_enough(self, part: np.ndarray, begin: np.ndarray, size: int, end: np.ndarray, passage: np.ndarray) -> np.ndarray:
-        """Of windows and passages, those with LOOSE of the passage's words and of its rarity in the window, words that occur twice
-        counted twice: step 4 turns away all others."""
-        at = begin[:, None] + np.arange(size)
-        terms = part[np.minimum(at, len(part) - 1)]
+        """Of windows and passages, those that step 4 may confirm. LOOSE of the passage's words and of its rarity are in the window,
+        words that occur twice counted twice; and in any order the window has the words of as many places of the passage, or of
+        the passage and its answer, as the common subsequences must have in order."""
+        terms = np.lib.stride_tricks.sliding_window_view(np.concatenate([part, np.zeros(size, part.dtype)]), size)[begin]
         has = self.holds[passage[:, None], terms >> 3] >> (terms & 7).astype(np.uint8) & 1
-        has &= at < end[:, None]
+        has &= np.arange(size) < (end - begin)[:, None]
         some = np.flatnonzero(has.sum(1) >= self.enough[passage])
-        rare = (has[some] * self.idf[terms[some]]).sum(1) >= (LOOSE - 1e-6) * self.rarity[passage[some]]
+        some = some[(has[some] * self.idf[terms[some]]).sum(1) >= (LOOSE - 1e-6) * self.rarity[passage[some]]]
         out = np.zeros(len(passage), bool)
-        out[some[rare]] = True
+        if len(some):
+            own, (pair, word) = passage[some], np.nonzero(has[some])
+            places = self.places[np.searchsorted(self.keys, own[pair] << BITS | terms[some[pair], word])]
+            places = np.bitwise_or.reduceat(places, np.flatnonzero(np.diff(pair, prepend=-1)))
+            share, answer = np.bitwise_count(places), np.bitwise_count(places & self.ends[own])
+            out[some[(share >= self.strict[own]) | (share >= self.loose[own]) & (answer >= self.answer[own])]] = True
         return out
 
     def block_sums(self, ids: np.ndarray, block: np.ndarray, n_blocks: int) -> np.ndarray:
@@ -328,9 +435,7 @@ class Judge:
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, first word, end, passage, cosine) of all windows that come near a passage."""
-        first = 0
-        while first < len(starts) - 1:  # as many documents as make up AT_ONCE words, one at least
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + AT_ONCE, "right")) - 1)
+        for first, last in runs(starts, AT_ONCE):
             part, own = ids[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
             n_blocks = -(-np.diff(own) // BLOCK)
             base = np.concatenate([[0], np.cumsum(n_blocks)])
@@ -361,7 +466,6 @@ class Judge:
                         for i, j, x in zip(at[few].tolist(), passage[few].tolist(), cosine[few].tolist()):
                             d, begin_at = int(which[a + i]), int(s[i])
                             yield first + d, BLOCK * (begin_at - int(base[d])), BLOCK * (int(e[i]) - int(base[d])), j, x
-            first = last
 
     def matches(self, column: pa.ListArray, texts: pa.StringArray) -> list[list[dict]]:
         """The confirmed items of each document of a batch."""
@@ -369,7 +473,7 @@ class Judge:
         words: tuple[int, list[str]] = (-1, [])
         for doc, begin, end, passage, cosine in sorted(self.candidates(*flat(column))):
             if words[0] != doc:
-                words = doc, tokens(texts[doc].as_py())
+                words = doc, tokens(texts[doc].cast(pa.binary()).as_py().decode("utf-8", "replace"))
             self.confirm(words[1][begin:end], passage, cosine, found.setdefault(doc, {}))
         return [list(found.get(i, {}).values()) for i in range(len(column))]
 
@@ -385,7 +489,7 @@ class Judge:
         if rarity < LOOSE:
             return
         share = lcs(passage, window) / len(passage)
-        end = passage[-max(4, len(passage) // 4) :]
+        end = passage[-answer_size(passage) :]
         answer = lcs(end, window) / len(end)
         if share >= STRICT and rarity >= STRICT or share >= LOOSE and answer >= STRICT:
             if item not in best or share > best[item]["lcs"]:
@@ -413,7 +517,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, to: str = "matches", per
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             judge = Judge(*sent.value)
-            for batch in batches:
+            for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, whole.num_rows, ROWS)):
                 found = judge.matches(batch.column(terms), batch.column("text"))
                 at = batch.schema.get_field_index(to)
                 column = pa.array([old + new for old, new in zip(batch.column(at).to_pylist(), found)], batch.schema.field(at).type)

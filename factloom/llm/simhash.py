@@ -67,7 +67,8 @@ def with_fingerprints(docs: DataFrame, width: int, to: str = "fp") -> DataFrame:
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, width)) for t in texts.tolist()], dtype="int64")
 
-    return docs.withColumn(to, prints("text"))
+    # so marked, Spark neither repeats it in a filter of its own beside the column nor takes a second Python worker a task for it
+    return docs.withColumn(to, prints.asNondeterministic()("text"))
 
 
 # --- the code -----------------------------------------------------------------------------------------------------------

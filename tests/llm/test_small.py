@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -557,6 +558,82 @@ def test_latent_space_is_fitted_on_all_texts(spark, monkeypatch):
     assert np.allclose(got, matrix[: len(cut)].T @ (matrix[: len(cut)] @ w), atol=1e-3)
 
 
+def test_fit_and_counts_take_bounded_room(spark):
+    """As many parts of the product as cores, whatever the number of files; a batch's words are neither copied nor counted at once."""
+    text = vocabulary(random.Random(17), 500)
+    rows = spark.createDataFrame([(text(70),) for _ in range(60)], "text string")
+    texts = decontaminate.distinct_texts(rows.select(decontaminate.term_arrays(F.col("text"))))
+    rng = np.random.default_rng(6)
+    start = rng.integers(0, 80, 1 << decontaminate.BITS), rng.choice(np.array([-1, 1], np.float32), 1 << decontaminate.BITS)
+    sent = spark.sparkContext.broadcast((np.ones(1 << decontaminate.BITS, np.float32), start))
+    cores = spark.sparkContext.defaultParallelism
+    parts = decontaminate.products(texts.repartition(5 * cores), sent)
+    assert parts.rdd.getNumPartitions() <= cores
+    got = np.zeros((1 << decontaminate.BITS, 80), np.float32)
+    for r in decontaminate.summed_parts(parts).collect():
+        got[r.block + np.frombuffer(r.at, np.int32)] += np.frombuffer(r.part, np.float32).reshape(-1, 80)
+    ids = [decontaminate.term_ids(decontaminate.tokens(r.text)) for r in rows.collect()]
+    flat = np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    want = np.zeros((1 << decontaminate.BITS, 80), np.float32)
+    decontaminate.product(*flat, *sent.value, want)
+    assert want.any() and np.allclose(got, want, atol=1e-3)
+    # of 6 million words
+    starts = np.arange(0, 6_000_001, 500)
+    column = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(rng.integers(-(1 << 15), 1 << 15, 6_000_000).astype(np.int16)))
+    seen = np.zeros(1 << decontaminate.BITS, np.int64)
+    tracemalloc.start()
+    words, starts = decontaminate.flat(column)
+    decontaminate.count_terms(words, starts, np.full(len(column), 2), seen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48_000_000  # the words alone, as long integers
+    assert seen.sum() == 2 * sum(len(set(words[a : a + 500].tolist())) for a in range(0, 6_000_000, 500))
+
+
+def test_a_stage_takes_fingerprints_once(spark):
+    rows = docs(spark, [(i, f"some words of text {i}", "s") for i in range(20)] + [(None, "", "s"), (30, "some words of text 3", "s")])
+    kept = simhash.deduplicate(rows)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert kept.count() == 21
+
+
+def test_terms_are_those_of_the_words_that_confirm(spark, monkeypatch):
+    """Null, empty and odd texts: the hashed words stand at the same places as the words that step 4 looks at."""
+    odd = ["", "\n", "a", "Straße ﬁ İstanbul ΟΔΟΣ ΣΑΣ", "x_1, ２３ ½ ² Ⅷ 漢字—かな e\u0301 a\u200db", "\U0001e030\U00010570 \U0001f600\U000105ab", "ab" * 3000, "_", "ñ " * 999, None, "end"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, text string").withColumn("text", F.when(F.col("i") == 2, F.expr("cast(X'6162ff6320c3' as string)")).otherwise(F.col("text")))
+    odd[2] = b"ab\xffc \xc3".decode("utf-8", "replace")
+    for most in (decontaminate.LETTERS, 1, 40):
+        monkeypatch.setattr(decontaminate, "LETTERS", most)
+        ids, counts = decontaminate.cut(pa.array([t and t.encode() for t in odd], pa.binary()))
+        assert counts.tolist() == [len(decontaminate.tokens(t)) for t in odd]
+        assert ids.tolist() == [decontaminate.term(w) for t in odd for w in decontaminate.tokens(t)]
+    got = {r.i: [x & 0xFFFF for x in r.terms] for r in rows.select("i", decontaminate.term_arrays(F.col("text")).alias("terms")).collect()}
+    assert got == {i: decontaminate.term_ids(decontaminate.tokens(t)).tolist() for i, t in enumerate(odd)}
+    assert len(set(decontaminate.term_ids([f"w{i}" for i in range(2000)]).tolist())) > 1900  # spread like a random hash
+    item = " ".join(f"w{i}" for i in range(20))
+    leaky = docs(spark, [(1, "\U0001e030\U00010570 \U0001f600\U000105ab " * 30 + item + " z" * 40, "s")])
+    assert leaks(leaky, spark.createDataFrame([(7, item)], "item_id long, text string")) == {(1, 7)}
+
+
+def test_candidates_are_those_that_words_can_confirm():
+    """Half of a passage's words in a window make no candidate where its answer is missing; with the answer, or three quarters of
+    the words, they do. A word that stands twice in the passage counts for both places."""
+    text = vocabulary(random.Random(18), 3000)
+    words = text(30).split()
+    words[3] = words[9]
+    idf = np.ones(1 << decontaminate.BITS, np.float32)
+    rng = np.random.default_rng(7)
+    basis = np.linalg.qr(rng.standard_normal((1 << decontaminate.BITS, 8)))[0].astype(np.float32)
+    judge = decontaminate.Judge([(1, words), (2, text(4).split())], idf, basis, np.ones(8))
+    other = text(20).split()
+    windows = [words[:18] + other, words[:10] + words[-7:] + other, words[:23] + other, words[:3] + words[4:23] + other, words[-7:] + other]
+    ids, size = np.concatenate([decontaminate.term_ids(w[:38]) for w in windows]), [len(w[:38]) for w in windows]
+    end = np.cumsum(size)
+    one = np.zeros(len(windows), int)
+    assert judge.share_enough(ids, end - size, 48, end, one).tolist() == [False, True, True, True, False]
+    assert judge.share_enough(ids, end - size, 48, end, one + 1).tolist() == [False] * 5
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------------
 
 
