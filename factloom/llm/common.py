@@ -29,11 +29,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+    compression: the session's, unless given."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/factloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -142,7 +142,7 @@ def runs(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
     """(terms, copies): the different ones of the rows' only column, the texts' hashed words, and how many rows have each."""
-    return materialise(rows.toDF("terms").groupBy("terms").agg(F.count("*").alias("copies")), "texts")
+    return materialise(rows.toDF("terms").groupBy("terms").agg(F.count("*").alias("copies")), "texts", "zstd")
 
 
 def count_terms(ids: np.ndarray, starts: np.ndarray, copies: np.ndarray, into: np.ndarray) -> None:
@@ -235,11 +235,11 @@ def summed(rows: np.ndarray, at: np.ndarray, weights: np.ndarray, begin: np.ndar
     added = np.zeros((len(begin), rows.shape[1]), np.float32)
     long = int(np.count_nonzero(size > BLOCK))
     for i, (a, n) in enumerate(zip(begin[:long].tolist(), size[:long].tolist())):
-        added[i] = weights[a : a + n] @ rows[at[a : a + n]]
+        added[i] = weights[a : a + n] @ rows.take(at[a : a + n], axis=0)
     for k in range(BLOCK):
         m = int(np.count_nonzero(size > k))
         which = begin[long:m] + k
-        added[long:m] += rows[at[which]] * weights[which, None]
+        added[long:m] += rows.take(at[which], axis=0) * weights[which, None]
     out = np.empty_like(added)
     out[longest] = added
     return out
@@ -405,9 +405,9 @@ class Judge:
         words that occur twice counted twice; and in any order the window has the words of as many places of the passage, or of
         the passage and its answer, as the common subsequences must have in order."""
         terms = np.lib.stride_tricks.sliding_window_view(np.concatenate([part, np.zeros(size, part.dtype)]), size)[begin]
-        has = self.holds[passage[:, None], terms >> 3] >> (terms & 7).astype(np.uint8) & 1
+        has = self.holds.ravel().take((passage * self.holds.shape[1])[:, None] + (terms >> 3)) >> (terms & 7).astype(np.uint8) & 1
         has &= np.arange(size) < (end - begin)[:, None]
-        some = np.flatnonzero(has.sum(1) >= self.enough[passage])
+        some = np.flatnonzero(has.sum(1, dtype=np.uint8) >= self.enough[passage])  # a window has fewer than 256 words
         some = some[(has[some] * self.idf[terms[some]]).sum(1) >= (LOOSE - 1e-6) * self.rarity[passage[some]]]
         out = np.zeros(len(passage), bool)
         if len(some):
@@ -429,7 +429,7 @@ class Judge:
         added = np.zeros((len(begin), self.table.shape[1]), np.float32)
         for k in range(int(size.max(initial=0))):
             m = int(np.count_nonzero(size > k))
-            added[:m] += self.table[ids[begin[:m] + k]]
+            added[:m] += self.table.take(ids[begin[:m] + k], axis=0)
         sums[into] = added
         return sums
 
@@ -500,8 +500,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, to: str = "matches", per
     """docs (with a text) and a column `to`: the benchmark items (item_id, text) found in it, with the scores that confirmed them."""
     spark, docs = docs.sparkSession, docs.drop(to)
     terms = unused(docs, "terms")[0]
-    # written once, for cutting texts into words costs more than reading the words again
-    ready = materialise(docs.withColumn(terms, term_arrays(F.col("text"))), "terms")
+    # written once, for cutting texts into words costs more than reading the words again; packed well, for it holds all texts
+    ready = materialise(docs.withColumn(terms, term_arrays(F.col("text"))), "terms", "zstd")
     texts = distinct_texts(ready.select(terms))
     df, n, windows = document_frequencies(ready, texts)
     idf, known = idf_of(df, n), passages_of(benchmark)
