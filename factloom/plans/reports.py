@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.plans.sql import quality, reason, value_columns
-from factloom.session import table
+from factloom.session import once, table
 
 _K = "o_orderkey"
 
@@ -55,7 +55,8 @@ def _chosen(forms: list[str]) -> Column:
 def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, page_number, text), one page an order."""
     text = F.concat(F.concat_ws(" ", _chosen(FINANCIAL), _chosen(VOLUMES), _chosen(DEVICES)), F.lit("\n\n"), _chosen(CALLOUTS))
-    return orders_of(spark, sf_dir).select(F.col("key").alias("document_id"), F.lit(1).alias("page_number"), text.alias("text")).repartition("document_id")  # the patterns cost more than the shuffle; a small scan would be one task
+    told = once(orders_of(spark, sf_dir), "text", text)  # else each test of a text by the rules would put it together again
+    return told.select(F.col("key").alias("document_id"), F.lit(1).alias("page_number"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")  # the patterns cost more than the shuffle; a small scan would be one task, and so would small partitions put together
 
 
 def report_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
