@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab as V
-from factloom.functions.text import some, title
-from factloom.operators.extract import extract_facts, first_wins, loose
+from factloom.functions.text import some
+from factloom.operators.extract import extract_facts, first_wins, loose, titled
 from factloom.operators.relate import blend_model
+from factloom.session import once
 
 _SPACE = r"(?U)^\s+|\s+$"
 
@@ -70,7 +71,7 @@ def reply_facts(chunks: DataFrame, reply: str = "reply") -> DataFrame:
     none = ["none", "null", "n/a"]
     qualifiers = F.coalesce(F.try_variant_get("_i", "$.qualifiers", "map<string,string>"), F.create_map().cast("map<string,string>"))
     return rows.select(
-        "document_id", "page_number", "chunk_id", "ordinal", F.when(turned, F.coalesce(title(entity), F.lit("Company"))).otherwise(F.col("subject")).alias("subject"),
+        "document_id", "page_number", "chunk_id", "ordinal", F.when(turned, F.coalesce(titled(entity, V.REPLY_SUBJECTS), F.lit("Company"))).otherwise(F.col("subject")).alias("subject"),
         F.when(turned, F.col("subject")).otherwise(F.col("predicate")).alias("predicate"), "value", kind.alias("fact_type"), stated("period", [*none, "unspecified"]).alias("period"),
         stated("scope", [*none, "unspecified"]).alias("scope"), stated("unit", none).alias("unit"), stated("currency", none).alias("currency"), qualifiers.alias("qualifiers"),
         F.when(F.length("evidence_quote") < 15, quote).otherwise(F.col("evidence_quote")).alias("evidence_quote"),
@@ -80,11 +81,11 @@ def reply_facts(chunks: DataFrame, reply: str = "reply") -> DataFrame:
 def merged_facts(chunks: DataFrame, reply: str = "reply") -> DataFrame:
     """Facts of replies and of the rules, with `from_model`. Where a reply can be read, of equal subject, predicate and value the
     reply's stays, else the rules' first; other chunks have all that the rules find."""
-    readable = chunks.filter(parsed(F.col(reply)).isNotNull())
-    rules = extract_facts(chunks.drop(reply)).withColumn("_rank", F.lit(1))
-    both = rules.join(readable.select("chunk_id").distinct(), "chunk_id", "left_semi").unionByName(reply_facts(chunks, reply).withColumn("_rank", F.lit(0)))
-    alone = rules.join(readable.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    return first_wins(both, "_rank").unionByName(alone).withColumn("from_model", F.col("_rank") == 0).drop("_rank")
+    flagged = once(chunks, "_readable", parsed(F.col(reply)).isNotNull())
+    rules = extract_facts(flagged.drop(reply), ("_readable",)).withColumn("_rank", F.lit(1))
+    told = reply_facts(chunks, reply).withColumns({"_rank": F.lit(0), "_readable": F.lit(True)})
+    # one pass over all facts: the rules' are not worked out again for the chunks whose replies cannot be read
+    return first_wins(rules.unionByName(told), "_rank", F.col("_readable")).withColumn("from_model", F.col("_rank") == 0).drop("_rank", "_readable")
 
 
 def with_opinions(related: DataFrame, reply: str = "reply") -> DataFrame:
